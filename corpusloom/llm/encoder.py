@@ -25,20 +25,37 @@ def _byte_alphabet() -> dict[int, int]:
 
 
 class _Memo(dict):
+    """Memo of at most ``most`` keys.
+
+    A key is kept from its second miss on, since words that occur once would fill it, and a full memo keeps what it has,
+    the early and so frequent words, until ``8 * most`` further misses suggest that the texts have changed.
+    """
+
     def __init__(self, make, most: int):
         self.make, self.most = make, most
+        self.seen, self.mask = bytearray(1 << 22), (1 << 22) - 1
+        self.missed = 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(self) < self.most:
+            at = hash(key) & self.mask
+            if self.seen[at]:
+                self[key] = value
+            else:
+                self.seen[at] = 1
+        else:
+            self.missed += 1
+            if self.missed > 8 * self.most:
+                self.clear()
+                self.seen, self.missed = bytearray(1 << 22), 0
         return value
 
 
 class Encoder:
     """``encode(text)`` returns the ids as little-endian unsigned 32-bit integers in one ``bytes`` object."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         import re
 
         import regex
@@ -51,11 +68,12 @@ class Encoder:
         self.layout, pattern = self._layout(spec)
         self.normalizer = self.tok.normalizer
         self.alphabet = _byte_alphabet()
-        # Letters beyond these, control characters and odd spaces: the library itself decides.
-        self.plain = re.compile("[\t\n\x0b\x0c\r -~¡-ɏ]*").fullmatch
+        # Letters beyond these, control characters, odd spaces and what special tokens start with: the library itself decides.
+        starts = {x["content"][0] for x in spec.get("added_tokens", []) if x.get("content")}
+        usual = "".join(c for c in map(chr, [*range(9, 14), *range(32, 127), *range(0xA1, 0x250)]) if c not in starts)
+        self.plain = re.compile(f"[{re.escape(usual)}]*").fullmatch
         self.risky = re.compile(r" (?:\s|\Z)").search
         self.find = regex.compile(pattern).findall if pattern else None
-        self.special = [x["content"][:2] for x in spec.get("added_tokens", [])]
         self.pieces = _Memo(self._piece, most_words)
         self.first = _Memo(lambda w: self._word(w, ""), most_words)
         self.later = self.first if self.layout == "drops" else _Memo(lambda w: self._word(w, " "), most_words)
@@ -84,13 +102,19 @@ class Encoder:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        if piece.isascii() and piece.lstrip(" ").isalnum():
+            piece = piece.replace(" ", "Ġ")
+        else:
+            piece = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str, lead: str) -> bytes:
-        if not self.plain(word) or any(s in word for s in self.special):
+        if not self.plain(word):
             return self._library(lead + word)
         if self.layout == "drops":
             word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+        if word.isalpha():
+            return self.pieces[lead + word]
         return b"".join(map(self.pieces.__getitem__, self.find(lead + word)))
 
     def encode(self, text: str) -> bytes:
