@@ -55,7 +55,7 @@ class _Memo(dict):
 class Encoder:
     """``encode(text)`` returns the ids as little-endian unsigned 32-bit integers in one ``bytes`` object."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         import re
 
         import regex
