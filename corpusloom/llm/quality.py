@@ -13,7 +13,6 @@ from . import shared
 from .spans import let
 
 BLANKS = " \t\n\x0b\x0c\r"
-BLANK_RUN = r"[ \t\n\x0b\f\r]+"
 SYMBOLS = "#*$%&|<>"
 # Phrases of navigation bars and of legal or technical boilerplate.
 NAVIGATION = ("home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "back to top", "skip to content", "read more", "share this", "search", "sitemap", "contact us", "about us")
@@ -25,11 +24,12 @@ def count_of(text: Column, chars: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, BLANK_RUN), "")
+    """Splitting at one character needs no regex engine."""
+    return F.array_remove(F.split(F.translate(text, BLANKS[1:], " " * (len(BLANKS) - 1)), " "), "")
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in 3-word windows found twice or more, the first included.
+    """Words in 3-word windows found twice or more, the first included.  ``words`` must be a bound variable.
 
     Windows are sorted by hash, so equal ones are neighbours; a repeated window then adds the words that the one
     before it hasn't covered.  Cost n log n in the text's length.
@@ -46,19 +46,25 @@ def repeated_words(words: Column) -> Column:
         step = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"))
         return F.aggregate(let(F.sort_array(windows), twice), start, step)["n"]
 
-    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(counted(w))).cast("long")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(counted(words)).cast("long")
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with words fails a rule.  Blank lines never do."""
-    words = F.size(words_of(line))
-    bare = F.lower(F.trim(line))
-    punctuation = ((words >= 4) & (count_of(line, SYMBOLS + "!") * 2 >= words)) | ((words < 4) & ~F.rlike(line, F.lit(r"[.!?:;,…。][\"')\]]*\s*$")))
-    navigation = bare.isin(*NAVIGATION) | ((count_of(line, "|»›") >= 2) & (count_of(line, "|»›") * 3 >= words))
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | bare.contains(phrase)
-    return (words > 0) & (punctuation | navigation | (boilerplate & (words <= 40)))
+
+    def by_words(words: Column) -> Column:
+        def navigation_or_boilerplate(bare: Column) -> Column:
+            found = bare.isin(*NAVIGATION)
+            for phrase in BOILERPLATE:
+                found = found | bare.contains(phrase)
+            return found
+
+        unended = (words < 4) & ~F.rlike(line, F.lit(r"[.!?:;,…。][\"')\]]*\s*$"))
+        punctuation = unended | ((words >= 4) & (count_of(line, SYMBOLS + "!") * 2 >= words))
+        bars = let(count_of(line, "|»›"), lambda n: (n >= 2) & (n * 3 >= words))
+        return (words > 0) & (punctuation | bars | ((words <= 40) & let(F.lower(F.trim(line)), navigation_or_boilerplate)))
+
+    return let(F.size(words_of(line)), by_words)
 
 
 def assess(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
@@ -71,22 +77,20 @@ def assess(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     chars = F.length(F.translate(text, BLANKS, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    n_words = F.size(words_of(text))
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
     measured = F.struct(
-        n_words.cast("long").alias("n_words"),
+        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("words"),
         chars.cast("long").alias("word_chars"),
         count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(words_of(text)).alias("n_repeat_words"),
         cleaned.alias("cleaned"),
     )
 
     def judged(m: Column) -> Column:
-        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        n_words, n_repeat = m["words"]["n_words"], m["words"]["n_repeat_words"]
+        base = (n_words < 50) | (100 * n_repeat > 50 * n_words)
         lost = m["word_chars"] - F.length(F.translate(m["cleaned"], BLANKS, ""))
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        return F.struct(*(m[n].alias(n) for n in names), base.alias("base_failed"), lost.cast("long").alias("lost_chars"), m["cleaned"].alias("cleaned"), (~base & (lost <= m["word_chars"] * max_lost)).alias("kept"))
+        return F.struct(n_words.alias("n_words"), *(m[n].alias(n) for n in ("word_chars", "n_symbols", "n_dup_lines")), n_repeat.alias("n_repeat_words"), base.alias("base_failed"), lost.cast("long").alias("lost_chars"), m["cleaned"].alias("cleaned"), (~base & (lost <= m["word_chars"] * max_lost)).alias("kept"))
 
     return docs.withColumn("quality", let(measured, judged))
 
