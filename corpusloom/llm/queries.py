@@ -5,9 +5,10 @@ from __future__ import annotations
 from .bitpack import op9_bit_packed_ids
 from .counts import op5_token_counts
 from .packing import op2_packing
+from .pii import op3_pii
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op4_secret_scans
 from .urlfilter import OP10_SQL, op10_url_filters
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_secret_scans, op5_token_counts, op8_quality_rules, op9_bit_packed_ids, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_pii, op4_secret_scans, op5_token_counts, op8_quality_rules, op9_bit_packed_ids, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op10_url_filters": OP10_SQL}
