@@ -67,14 +67,12 @@ def line_fails(line: Column) -> Column:
     return let(F.size(words_of(line)), by_words)
 
 
-def assess(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` and one struct column ``quality``; a column of that name is replaced.
-
-    quality: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, cleaned, kept.
+def quality_of(text: Column, max_lost: float = 0.5) -> Column:
+    """struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, cleaned, kept.
     Null and empty texts have no words, fail the base rules and clean to an empty text.  Rows are independent, so ties
     and repeated rows need no rule.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(text.cast("string"), F.lit(""))
     chars = F.length(F.translate(text, BLANKS, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n")
@@ -92,13 +90,24 @@ def assess(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
         lost = m["word_chars"] - F.length(F.translate(m["cleaned"], BLANKS, ""))
         return F.struct(n_words.alias("n_words"), *(m[n].alias(n) for n in ("word_chars", "n_symbols", "n_dup_lines")), n_repeat.alias("n_repeat_words"), base.alias("base_failed"), lost.cast("long").alias("lost_chars"), m["cleaned"].alias("cleaned"), (~base & (lost <= m["word_chars"] * max_lost)).alias("kept"))
 
-    return docs.withColumn("quality", let(measured, judged))
+    return let(measured, judged)
+
+
+def assess(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
+    """All columns of ``docs`` and one struct column ``quality`` (see ``quality_of``); a column of that name is replaced."""
+    return docs.withColumn("quality", quality_of(F.col("text"), max_lost))
 
 
 def clean(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
-    """Kept documents with their failing lines removed, in the columns of ``docs``; ``n_chars``, if there, follows the text."""
+    """Kept documents with their failing lines removed, in the columns of ``docs``; ``n_chars``, if there, follows the text.
+
+    The verdict is exploded rather than filtered: a filter would be moved below the projection and judge every text twice.
+    """
     names = docs.columns
-    kept = assess(docs, max_lost).filter(F.col("quality.kept")).withColumn("text", F.col("quality.cleaned"))
+    judged = F.filter(F.array(quality_of(F.col("text"), max_lost)), lambda q: q["kept"])
+    cleaned = F.transform(judged, lambda q: q["cleaned"])
+    rest = [F.col(f"`{n}`") for n in names if n not in ("text", "n_chars")]
+    kept = docs.select(*rest, F.explode(cleaned).alias("text"))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*(F.col(f"`{n}`") for n in names))
