@@ -1,6 +1,6 @@
-"""Registry of the engine's own queries and their SQL."""
+"""All queries of the engine itself."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.plans import analysis, corpus, workflow  # noqa: F401
+from corpusloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
