@@ -74,7 +74,7 @@ class Encoder:
         self.plain = re.compile(f"[{re.escape(usual)}]*").fullmatch
         self.risky = re.compile(r" (?:\s|\Z)").search
         self.find = regex.compile(pattern).findall if pattern else None
-        self.pieces = _Memo(self._piece, most_words)
+        self.pieces = _Memo(self._piece, most_words // 2)
         self.first = _Memo(lambda w: self._word(w, ""), most_words)
         self.later = self.first if self.layout == "drops" else _Memo(lambda w: self._word(w, " "), most_words)
 
