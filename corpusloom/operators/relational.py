@@ -128,3 +128,20 @@ def near_hashes(df: DataFrame, key: str, hash_col: str, most_bits: int = 2) -> D
     a, b = rows.select(F.col(key).alias("a"), F.col(hash_col).alias("_ha"), "_at", "_piece"), rows.select(F.col(key).alias("b"), F.col(hash_col).alias("_hb"), "_at", "_piece")
     bits = S.hex_distance(F.col("_ha"), F.col("_hb"))
     return a.join(b, ["_at", "_piece"]).filter("a < b").select("a", "b", bits.cast("int").alias("bits")).filter(F.col("bits") <= most_bits).distinct()
+
+
+def draw_strata(frame: DataFrame, key: str, alike: str, strata: dict[str, Column], need: int, seed: int, vetoed: tuple = ()) -> DataFrame:
+    """``need`` units of each stratum in turn, in seeded order, none like one drawn before (equal ``alike``).
+
+    A stratum's pool is cut to one unit of each look before it is ranked; only the few drawn units are carried on.
+    Nulls in ``alike`` are like nothing and may all be drawn.
+    """
+    drawn: list[tuple] = []
+    for name, inside in strata.items():
+        looks = [r[1] for r in drawn if r[1] is not None]
+        pool = frame.filter(inside & ~F.col(key).isin(*[r[0] for r in drawn], *vetoed) & (~F.col(alike).isin(*looks) | F.col(alike).isNull() if looks else F.lit(True)))
+        order = [S.seeded(seed, F.col(key)), F.col(key)]
+        one = keep_first(pool.withColumn("_look", F.coalesce(F.col(alike).cast("string"), F.concat(F.lit("\0"), F.col(key).cast("string")))), ["_look"], order)
+        drawn += [(r[key], r[alike], name) for r in one.select(key, alike).orderBy(*order).limit(need).collect()]
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    return frame.sparkSession.createDataFrame(drawn, f"`{key}` {kinds[key]}, `{alike}` {kinds[alike]}, stratum string")

@@ -138,3 +138,34 @@ def trend(series: DataFrame, model: str, step: str, value: str) -> DataFrame:
     """First, last and change of each model's series, and each step's change from the one before."""
     w = Window.partitionBy(model).orderBy(step)
     return series.select(model, step, value, F.round(F.col(value) - F.lag(value).over(w), 6).alias("change"), F.round(100 * S.ratio(F.col(value) - F.first(value).over(w), F.first(value).over(w)), 6).alias("pct_of_first"))
+
+
+def reference_standards(codings: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
+    """``key``, ``variant``, ``gold``: agreed codes under all of A, B and C; disputes settled by the left coder (A), the
+    right one (B), or left open (C, no row).  Nulls and ``cannot_assess`` give no row.
+    """
+    ok = codings.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != "cannot_assess") & (F.col(right) != "cannot_assess"))
+    same = F.col(left) == F.col(right)
+    each = F.array(F.struct(F.lit("A").alias("variant"), F.col(left).alias("gold")), F.struct(F.lit("B").alias("variant"), F.col(right).alias("gold")), F.struct(F.lit("C").alias("variant"), F.when(same, F.col(left)).alias("gold")))
+    return ok.select(*key, F.inline(each)).filter("gold is not null")
+
+
+def complete_sets(gold: DataFrame, subject: str, field: str, fields: int, model: str, weight: str) -> DataFrame:
+    """Weighted share, by variant, of subjects whose fields are all resolved and all equal to the model's."""
+    per = gold.groupBy("variant", subject).agg(F.countDistinct(field).alias("n_fields"), F.bool_and((F.col("gold") == "yes") == (F.col(model) == "yes")).alias("hit"), F.first(weight).alias("w"))
+    return weighted_precision(per.filter(F.col("n_fields") == fields), ["variant"], F.col("hit"), F.col("w"))
+
+
+def bootstrap_f1(df: DataFrame, label: str, predicted, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean and percentile bounds of F1: resampled rows are multinomial draws of the four cells."""
+    import numpy as np
+
+    c = confusion(df, label, predicted).first()
+    cells = np.array([c["tp"], c["fp"], c["tn"], c["fn"]], float)
+    n = int(cells.sum())
+    row = (n, None, None, None)
+    if n:
+        draws = np.random.default_rng(seed).multinomial(n, cells / n, resamples)
+        f1 = 2 * draws[:, 0] / np.maximum(2 * draws[:, 0] + draws[:, 1] + draws[:, 3], 1)
+        row = (n, float(f1.mean()), *(float(x) for x in np.percentile(f1, [2.5, 97.5])))
+    return df.sparkSession.createDataFrame([row], "n long, mean double, low double, high double")

@@ -240,3 +240,63 @@ def smote_rows(spark, d):
 def top3_per_label(spark, d):
     w = Window.partitionBy("label").orderBy(F.desc("pred_proba"), "vec_id")
     return embedded(spark, d).withColumn("position", F.row_number().over(w)).filter("position <= 3").select("label", "vec_id", "position")
+
+
+def codings(spark, d: str) -> DataFrame:
+    """Two made-up coders of two fields: labels, and labels with every ninth (seventh) one turned."""
+    yes = lambda c: F.when(c == 1, "yes").otherwise("no")
+    turned = lambda c, n: F.when(F.pmod("doc_id", F.lit(n)) == 0, 1 - c).otherwise(c)
+    q, t = F.col("quality"), F.col("toxic")
+    fields = F.array(F.struct(F.lit("quality").alias("field"), yes(q).alias("left_code"), yes(turned(q, 9)).alias("right_code"), yes(turned(q, 5)).alias("model")), F.struct(F.lit("toxic").alias("field"), yes(t).alias("left_code"), yes(turned(t, 7)).alias("right_code"), yes(turned(t, 11)).alias("model")))
+    return table(spark, d, "labels").select("doc_id", (1 + F.pmod("doc_id", F.lit(4))).cast("double").alias("w"), F.inline(fields))
+
+
+CODINGS = """WITH c AS (SELECT doc_id, (1 + doc_id % 4)::DOUBLE AS w, 'quality' AS field, quality = 1 AS l, CASE WHEN doc_id % 9 = 0 THEN quality = 0 ELSE quality = 1 END AS r, CASE WHEN doc_id % 5 = 0 THEN quality = 0 ELSE quality = 1 END AS m FROM labels
+UNION ALL SELECT doc_id, (1 + doc_id % 4)::DOUBLE, 'toxic', toxic = 1, CASE WHEN doc_id % 7 = 0 THEN toxic = 0 ELSE toxic = 1 END, CASE WHEN doc_id % 11 = 0 THEN toxic = 0 ELSE toxic = 1 END FROM labels),
+gold AS (SELECT *, 'A' AS variant, l AS g FROM c UNION ALL SELECT *, 'B', r FROM c UNION ALL SELECT *, 'C', l FROM c WHERE l = r)"""
+SHARE = " SELECT {by}, n, round(p, 6) AS precision, round(ne, 6) AS n_eff, round(greatest(0.0, (p + z * z / (2 * ne) - z * sqrt(p * (1 - p) / ne + z * z / (4 * ne * ne))) / (1 + z * z / ne)), 6)::DOUBLE AS low, round(least(1.0, (p + z * z / (2 * ne) + z * sqrt(p * (1 - p) / ne + z * z / (4 * ne * ne))) / (1 + z * z / ne)), 6)::DOUBLE AS high FROM s"
+_AGG = "count(*)::BIGINT AS n, sum(w * hit::INTEGER) / sum(w) AS p, sum(w) * sum(w) / sum(w * w) AS ne, 1.959963985 AS z"
+
+
+@query(CODINGS + f", s AS (SELECT field, variant, {_AGG} FROM (SELECT field, variant, w, g AS hit FROM gold WHERE m) GROUP BY 1, 2)" + SHARE.format(by="field, variant"))
+def precision_by_standard(spark, d):
+    """Precision of the model's positives under the three reference standards."""
+    c = codings(spark, d)
+    gold = T.reference_standards(c, ["doc_id", "field", "model", "w"], "left_code", "right_code")
+    return T.weighted_precision(gold.filter("model = 'yes'"), ["field", "variant"], F.col("gold") == "yes", F.col("w"))
+
+
+@query(CODINGS + f", u AS (SELECT variant, doc_id, any_value(w) AS w, bool_and(g = m) AS hit FROM gold GROUP BY 1, 2 HAVING count(DISTINCT field) = 2), s AS (SELECT variant, {_AGG} FROM u GROUP BY 1)" + SHARE.format(by="variant"))
+def complete_type_set(spark, d):
+    gold = T.reference_standards(codings(spark, d), ["doc_id", "field", "model", "w"], "left_code", "right_code")
+    return T.complete_sets(gold, "doc_id", "field", 2, "model", "w")
+
+
+@query(CODINGS + f", u AS (SELECT variant, doc_id, any_value(w) AS w, bool_and(g) AS hit FROM gold GROUP BY 1, 2 HAVING count(DISTINCT field) = 2), s AS (SELECT variant, {_AGG} FROM u GROUP BY 1)" + SHARE.format(by="variant"))
+def joint_criteria(spark, d):
+    gold = T.reference_standards(codings(spark, d), ["doc_id", "field", "w"], "left_code", "right_code").withColumn("all_yes", F.lit("yes"))
+    return T.complete_sets(gold, "doc_id", "field", 2, "all_yes", "w")
+
+
+@query("WITH f AS (SELECT doc_id, n_chars % 50 AS look, lang, md5('42|' || doc_id) AS h FROM documents), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY look ORDER BY h, doc_id) AS k FROM f WHERE lang = 'en') WHERE k = 1 ORDER BY h, doc_id LIMIT 20), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY look ORDER BY h, doc_id) AS k FROM f WHERE lang = 'de' AND look NOT IN (SELECT look FROM a)) WHERE k = 1 ORDER BY h, doc_id LIMIT 20) SELECT doc_id, look, 'english' AS stratum FROM a UNION ALL SELECT doc_id, look, 'german' FROM b")
+def greedy_strata_draw(spark, d):
+    frame = table(spark, d, "documents").select("doc_id", F.pmod("n_chars", F.lit(50)).alias("look"), "lang")
+    return R.draw_strata(frame, "doc_id", "look", {"english": F.col("lang") == "en", "german": F.col("lang") == "de"}, 20, 42)
+
+
+@query()
+def bootstrap_f1(spark, d):
+    return T.bootstrap_f1(judged(spark, d), "label", F.col("score") >= 0.3, 500)
+
+
+@query("WITH c AS (SELECT doc_id, quality = 1 AS a, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END = 1 AS b FROM labels) SELECT a AS left_yes, b AS right_yes, count(*)::BIGINT AS n FROM c GROUP BY 1, 2")
+def disagreement_directions(spark, d):
+    b = F.when(F.pmod("doc_id", F.lit(9)) == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
+    return table(spark, d, "labels").groupBy((F.col("quality") == 1).alias("left_yes"), (b == 1).alias("right_yes")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type)::BIGINT AS n_kinds, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS kinds FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 3")
+def complete_subjects(spark, d):
+    """Subjects seen under at least three kinds, with the sorted list."""
+    kinds = F.array_sort(F.collect_set("event_type"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n_kinds"), F.array_join(kinds, "|").alias("kinds")).filter("n_kinds >= 3")
