@@ -133,27 +133,38 @@ def likely_links(sigs: np.ndarray, least: float = LIKELY) -> list[tuple[int, int
 
 
 def verified_links(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """(i, root) for sets linked, directly or over others, by exact similarity of ``threshold`` or more."""
+    """(i, root) for sets linked, directly or over others, by exact similarity of ``threshold`` or more.
+
+    The common part of two distributions, the sum of the lesser shares, bounds probability Jaccard from above, so the
+    exact value is computed only where that sum reaches the threshold and the sets aren't linked yet.
+    """
     n, u = len(sets), Union(len(sets))
     sizes = np.array([len(h) for h, _ in sets], np.int64)
     flat = np.concatenate([h for h, _ in sets])
     owner = np.repeat(np.arange(n), sizes)
     values, code = np.unique(flat, return_inverse=True)
     order = np.argsort(code, kind="stable")
-    posting, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
+    shares = np.concatenate([w / w.sum() for _, w in sets])
+    posting, posted, first = owner[order], shares[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
     ends = np.cumsum(sizes)
-    uneven = [bool((w > 1).any()) for _, w in sets]
+    uneven = np.array([bool((w > 1).any()) for _, w in sets])
     for i in range(n):
         own = code[ends[i] - sizes[i] : ends[i]]
         lo, k = first[own], first[own + 1] - first[own]
-        hits = posting[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())]
+        at = np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())
+        hits = posting[at]
         common = np.bincount(hits, minlength=n)[i + 1 :]
         plain = common / (sizes[i] + sizes[i + 1 :] - common)
         for j in np.flatnonzero(plain >= threshold).tolist():
             u.join(i, i + 1 + j)
-        for j in np.flatnonzero((plain < threshold) & (common > 0)).tolist():
+        if not (uneven[i] or uneven[i + 1 :].any()):
+            continue
+        least = np.minimum(np.repeat(shares[ends[i] - sizes[i] : ends[i]], k), posted[at])
+        bound = np.bincount(hits, least, minlength=n)[i + 1 :]
+        open_ = (plain < threshold) & (bound >= threshold - 1e-9) & (uneven[i] | uneven[i + 1 :])
+        for j in np.flatnonzero(open_).tolist():
             o = i + 1 + j
-            if (uneven[i] or uneven[o]) and u.find(i) != u.find(o) and probability_jaccard(*sets[i], *sets[o]) >= threshold:
+            if u.find(i) != u.find(o) and probability_jaccard(*sets[i], *sets[o]) >= threshold:
                 u.join(i, o)
     return [(i, r) for i in range(n) if (r := u.find(i)) != i]
 
