@@ -25,7 +25,6 @@ from .encoder import encoder, public_path
 
 MAGIC, VERSION, HEADER = b"CLBP", 1, struct.Struct("<4sHHIQI")
 SHARD_SCHEMA = "pid int, seq int, base long, doc_ids binary, counts binary, shard binary"
-NO_ID = -(1 << 63)
 OUT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -129,7 +128,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0
         if doc_ids:
             yield shard()
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(shared.whole_id(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text"))
     (keyed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInPandas(run, SHARD_SCHEMA).write.parquet(path))
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
@@ -162,7 +161,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 })
 
     found = shards.select("pid", "base", "doc_ids", "counts", "shard").mapInPandas(run, OUT_SCHEMA)
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return shared.null_again(found)
 
 
 def op9_bit_packed_ids(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,23 +149,24 @@ def load_benchmark(benchmark: DataFrame, window: int = WINDOW, max_chars: int =
 
 
 def _shards(batches, shard_words: int):
-    """Frames of whole documents with about ``shard_words`` words together (6 characters a word)."""
+    """Arrow tables of whole documents with about ``shard_words`` words together (6 characters a word)."""
     held, size = [], 0
-    for pdf in batches:
-        sizes = pdf["text"].str.len().fillna(0).to_numpy()
-        cuts = np.flatnonzero(np.diff((size + np.cumsum(sizes)) // (6 * shard_words))) + 1 if len(pdf) else []
-        for i, part in enumerate(np.split(np.arange(len(pdf)), cuts)):
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff((size + np.cumsum(sizes)) // (6 * shard_words))) + 1 if len(sizes) else []
+        edges = [0, *map(int, cuts), len(sizes)]
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
             if i and held:
-                yield pd.concat(held, ignore_index=True)
+                yield pa.Table.from_batches(held)
                 held, size = [], 0
-            if len(part):
-                held.append(pdf.iloc[part])
-                size += int(sizes[part].sum())
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                size += int(sizes[a:b].sum())
         if size >= 6 * shard_words:
-            yield pd.concat(held, ignore_index=True)
+            yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, shard_words: int = 1_000_000) -> DataFrame:
@@ -174,12 +177,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     bench = docs.sparkSession.sparkContext.broadcast(load_benchmark(benchmark, window))
 
     def run(batches):
-        for pdf in _shards(batches, shard_words):
-            out = Shard(pdf["text"], bench.value).verdicts(bench.value, share)
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+        for part in _shards(batches, shard_words):
+            out = pa.Table.from_pandas(Shard(part["text"].to_pylist(), bench.value).verdicts(bench.value, share), preserve_index=False)
+            yield from out.add_column(0, "doc_id", part["doc_id"]).combine_chunks().to_batches()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, VERDICT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, VERDICT)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 1_000_000) -> DataFrame:
@@ -187,12 +189,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_w
     bench = docs.sparkSession.sparkContext.broadcast(load_benchmark(benchmark, window))
 
     def run(batches):
-        for pdf in _shards(batches, shard_words):
-            ids = pdf["doc_id"].tolist()
-            rows = [(bench.value.items[k][0], a, ids[doc], b, n) for k, a, doc, b, n in Shard(pdf["text"], bench.value).longest(bench.value)]
-            yield pd.DataFrame(rows, columns=["item_id", "item_start", "doc_id", "doc_start", "n_words"])
+        names = ["item_id", "item_start", "doc_id", "doc_start", "n_words"]
+        types = [pa.string(), *[pa.int64()] * 4]
+        for part in _shards(batches, shard_words):
+            ids = part["doc_id"].to_pylist()
+            rows = [(bench.value.items[k][0], a, ids[doc], b, n) for k, a, doc, b, n in Shard(part["text"].to_pylist(), bench.value).longest(bench.value)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, MATCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MATCH)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, shard_words: int = 1_000_000) -> DataFrame:
@@ -200,10 +205,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     bench = docs.sparkSession.sparkContext.broadcast(load_benchmark(benchmark, window))
 
     def run(batches):
-        for pdf in _shards(batches, shard_words):
-            yield pdf[~Shard(pdf["text"], bench.value).verdicts(bench.value, share)["contaminated"].to_numpy()]
+        for part in _shards(batches, shard_words):
+            gone = Shard(part["text"].to_pylist(), bench.value).verdicts(bench.value, share)["contaminated"].to_numpy()
+            yield from part.filter(pa.array(~gone)).to_batches()
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

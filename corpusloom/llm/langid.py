@@ -209,7 +209,7 @@ def identify(docs: DataFrame, net: BiGRU | None) -> DataFrame:
                 best = p.argmax(1)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": [model.classes[k] if t else "und" for k, t in zip(best, texts)], "score": np.clip(p[np.arange(len(best)), best], 0, 1)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, OUT)
+    return shared.null_again(docs.select(shared.whole_id(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, OUT))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

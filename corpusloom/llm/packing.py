@@ -78,7 +78,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
                     rows.append((doc_id, copy, at, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
             yield pd.DataFrame(rows, columns=["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.monotonically_increasing_id())
+    keyed = docs.select(shared.whole_id(F.col("doc_id")).alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.monotonically_increasing_id())
     return keyed.mapInPandas(run, PIECES)
 
 
@@ -95,8 +95,8 @@ def place(pieces: DataFrame, capacity: int = 2048, group_rows: int = 1024, seed:
         return pdf.assign(sequence_id=np.array(bins, "i8") + (int(key[0]) << 32), offset=offsets)[["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     meta = pieces.drop("ids")
-    drawn = meta.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "copy", "start"), F.lit(groups)))
-    return drawn.groupBy("group").applyInPandas(run, PLACED)
+    drawn = meta.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy", "start"), F.lit(groups)))
+    return shared.null_again(drawn.groupBy("group").applyInPandas(run, PLACED))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 1024, seed: int = 0) -> DataFrame:

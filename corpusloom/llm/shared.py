@@ -9,7 +9,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Stands for a null doc_id inside pandas code, where a null would turn the whole column into floats.
+NO_ID = -(1 << 63)
+
+
+def whole_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def null_again(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def shared_dir(spark: SparkSession) -> str:

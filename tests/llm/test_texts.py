@@ -180,3 +180,19 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert langid.learn(docs.limit(0)) is None
     assert {r["lang_pred"] for r in langid.identify(extra, None).collect()} == {"und"}
+
+
+def test_great_ids_stay_whole_beside_nulls(spark):
+    """Ids beyond 2^53 are exact where other ids or other columns are null."""
+    from corpusloom.llm import packing
+    from corpusloom.llm.encoder import public_path
+
+    great = 2**62 + 1
+    docs = spark.createDataFrame([(great, "one two three", None, 2**61 + 3), (None, "four", "x", None), (7, None, "y", 2**61 + 5)], "doc_id long, text string, extra string, big long").coalesce(1)
+    bench = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    kept = decontaminate.remove_contaminated(docs, bench).collect()
+    assert sorted(((r["doc_id"], r["big"]) for r in kept), key=str) == sorted([(None, None), (7, 2**61 + 5)], key=str)
+    assert {r["doc_id"] for r in decontaminate.contamination(docs, bench).collect()} == {great, None, 7}
+    assert {r["doc_id"] for r in decontaminate.matches(docs, bench).collect()} == {great}
+    assert {r["doc_id"] for r in langid.identify(docs, None).collect()} == {great, None, 7}
+    assert {r["doc_id"] for r in packing.pack_documents(docs, public_path("word_bpe_49k.json")).collect()} == {great, None, 7}
