@@ -3,10 +3,11 @@
 1. Each text becomes weighted shingles of five words (weight: how often it holds the shingle) and a ProbMinHash
    signature: every shingle is a Poisson process of its weight, each arrival claims a random register if it is the
    earliest there, and a process ends once it is later than every register.  Registers agree with the probability
-   Jaccard similarity of the weighted sets.
+   Jaccard similarity of the weighted sets.  A text that repeats shingles has a second signature, of weights of one,
+   whose registers agree with the plain Jaccard similarity; for other texts the two are equal.
 2. Equal texts are one node from here on.
-3. Bands of registers give buckets.  Within a bucket, signatures are compared and nodes that look like at least
-   ``0.6`` similar are linked to the bucket's first such node; the components of these links are canopies.
+3. Bands of registers of both signatures give buckets.  Within a bucket, signatures are compared and nodes that look
+   like at least ``0.6`` similar by either are linked to the bucket's first such node; the components of these links are canopies.
    Large buckets are compared as pairs of blocks, so no task holds more than two blocks, and no pair is written out.
 4. Within a canopy, again by blocks, similarities are computed exactly from the shingles; links of at least the
    threshold are unions, and components of those are the groups.
@@ -29,7 +30,7 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BAND = 224, 7
 LIKELY = 0.6
-SIGNED = "doc_id long, key binary, sig binary"
+SIGNED = "doc_id long, key binary, sig binary, plain binary"
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,11 +123,14 @@ class Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def likely_links(sigs: np.ndarray, least: float = LIKELY) -> list[tuple[int, int]]:
-    """(i, root) for rows whose signatures look similar, directly or over others."""
+def likely_links(sigs: np.ndarray, least: float = LIKELY, plains: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(i, root) for rows whose signatures, or whose plain ones, look similar, directly or over others."""
     u = Union(len(sigs))
     for i in range(len(sigs) - 1):
-        hits = np.flatnonzero(estimate((sigs[i + 1 :] == sigs[i]).sum(1), sigs.shape[1]) >= least)
+        same = (sigs[i + 1 :] == sigs[i]).sum(1)
+        if plains is not None:
+            same = np.maximum(same, (plains[i + 1 :] == plains[i]).sum(1))
+        hits = np.flatnonzero(estimate(same, sigs.shape[1]) >= least)
         for j in hits.tolist():
             u.join(i, i + 1 + j)
     return [(i, r) for i in range(len(sigs)) if (r := u.find(i)) != i]
@@ -170,7 +174,10 @@ def verified_links(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float =
 
 
 def sign(docs: DataFrame, words: int = WORDS, registers: int = REGISTERS) -> DataFrame:
-    """doc_id, key (equal for equal word sequences), signature; both null for a text without words."""
+    """doc_id, key (equal for equal word sequences), signature; both null for a text without words.
+
+    ``plain`` is the signature of the distinct shingles where some repeat, else null: it would equal ``sig``.
+    """
 
     def run(batches):
         import xxhash
@@ -189,7 +196,13 @@ def sign(docs: DataFrame, words: int = WORDS, registers: int = REGISTERS) -> Dat
                     at += 1
                 full = [s for s in sets if len(s[0])]
                 sigs = iter(prob_minhash(full, registers)) if full else iter(())
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[ids].to_numpy(), "key": keys, "sig": [next(sigs).tobytes() if len(s[0]) else None for s in sets]})
+                uneven = [(h, np.ones_like(w)) for h, w in full if (w > 1).any()]
+                plains = iter(prob_minhash(uneven, registers)) if uneven else iter(())
+                yield pd.DataFrame({
+                    "doc_id": pdf["doc_id"].iloc[ids].to_numpy(), "key": keys,
+                    "sig": [next(sigs).tobytes() if len(h) else None for h, _ in sets],
+                    "plain": [next(plains).tobytes() if (w > 1).any() else None for _, w in sets],
+                })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").mapInPandas(run, SIGNED)
 
@@ -230,20 +243,26 @@ def _in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
 
 def _canopies(nodes: DataFrame, band: int, registers: int, block: int, least: float) -> DataFrame:
     bands = registers // band
-    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", b * band + 1, band)) for b in range(bands)))
-    rows = nodes.select(F.explode(keys).alias("bucket"), "rep")
+    keys = lambda sig: F.array(*(F.xxhash64(F.lit(b), F.substring(sig, b * band + 1, band)) for b in range(bands)))
+    every = F.when(F.col("plain").isNull(), keys("sig")).otherwise(F.array_union(keys("sig"), keys("plain")))
+    rows = nodes.select(F.explode(every).alias("bucket"), "rep")
     shared_buckets = shared.materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = rows.join(shared_buckets, "bucket").join(nodes.select("rep", "sig"), "rep").select("bucket", "rep", "sig", "n")
+    members = rows.join(shared_buckets, "bucket").join(nodes.select("rep", "sig", "plain"), "rep").select("bucket", "rep", "sig", "plain", "n")
 
     def run(batches):
         for pdf in _grouped(batches, ["bucket", "i", "j"]):
             starts, ends = _runs(pdf, ["bucket", "i", "j"])
             reps, sigs = pdf["rep"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+            uneven = pdf["plain"].notna().to_numpy()
+            plains = sigs.copy()
+            if uneven.any():
+                plains[uneven] = np.frombuffer(b"".join(pdf["plain"][uneven]), np.uint8).reshape(-1, sigs.shape[1])
             two = starts[ends - starts == 2]
-            alike = two[estimate((sigs[two] == sigs[two + 1]).sum(1), registers) >= least]
+            same = np.maximum((sigs[two] == sigs[two + 1]).sum(1), (plains[two] == plains[two + 1]).sum(1))
+            alike = two[estimate(same, registers) >= least]
             a, b = [reps[alike + 1]], [reps[alike]]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                links = np.array(likely_links(sigs[s:e], least), np.int64).reshape(-1, 2)
+                links = np.array(likely_links(sigs[s:e], least, plains[s:e] if uneven[s:e].any() else None), np.int64).reshape(-1, 2)
                 a.append(reps[s + links[:, 0]])
                 b.append(reps[s + links[:, 1]])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
@@ -289,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     """
     signed = shared.materialise(sign(docs, words, registers), "signed")
     some = signed.filter("key is not null")
-    nodes = shared.materialise(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
+    nodes = shared.materialise(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("plain").alias("plain")), "nodes")
     groups = _verify(docs, _canopies(nodes, band, registers, block, likely), words, threshold, canopy_block)
     roots = nodes.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"))
     roots = shared.materialise(roots, "roots")

@@ -61,6 +61,22 @@ def test_groups_match_brute_force(spark, block):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(near_groups(docs).values())
 
 
+def test_plain_links_of_texts_that_repeat_a_line(spark):
+    rng = random.Random(7)
+    docs = {}
+    for g in range(12):
+        body = [f"b{g}w{rng.randrange(10**6)}" for _ in range(200)]
+        line = [f"b{g}l{k}" for k in range(12)]
+        for times in (1, 21, 41):
+            docs[len(docs)] = " ".join(body + line * times)
+    sets = [shingle_counts(t) for t in docs.values()]
+    for i in range(0, len(sets), 3):
+        assert len(sets[i].keys() & sets[i + 1].keys()) >= 0.9 * len(sets[i].keys() | sets[i + 1].keys())
+        assert probability_jaccard(sets[i], sets[i + 1]) < 0.6
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(df).collect()} == {i: i - i % 3 for i in docs}
+
+
 def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(5, "some text of six words here"), (5, "some text of six words here"), (None, "x")], "doc_id long, text string")
     assert [tuple(r) for r in neardup.near_duplicates(df).collect()] == [(5, 5, True)] * 2
