@@ -88,9 +88,16 @@ def language(code: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object in a reply: from the first brace to the last, fences and talk around it dropped; null if none."""
-    body = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    """The JSON object in a reply: from the first brace to the last closing one up to which it parses; null if none.
+
+    The parser overlooks what follows a value, so a span counts only if it parses both as an array's one element and as
+    an object's one member: no tail is right in both places.
+    """
+    parts = F.split(F.regexp_extract(text, r"(?s)(\{.*)\}", 1), r"\}")
+    span = lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "}"), F.lit("}"))
+    whole = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), x, F.lit("}"))).isNotNull()
+    tries = F.sequence(F.size(parts), F.lit(1), F.lit(-1))
+    return F.aggregate(tries, F.lit(None).cast("string"), lambda found, n: F.coalesce(found, F.when(whole(span(n)), span(n))))
 
 
 def strict_bool(body: Column, name: str) -> Column:

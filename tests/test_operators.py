@@ -121,6 +121,15 @@ def test_json_and_verdicts(spark):
     assert [r[0] for r in img] == ["PNG", None]
 
 
+def test_json_is_the_longest_prefix_that_parses(spark):
+    want = {
+        '{"a":1} see {b}': '{"a":1}', '{"a":1}} x': '{"a":1}', '{"a":{"b":"}"}} t } u': '{"a":{"b":"}"}}', '{"a":1} {"b":2}': '{"a":1}', '{"a":1},{"b":2}': '{"a":1}',
+        '{"a":1},"b":{}': '{"a":1}', '{"a":1}] }': '{"a":1}', 'x {b} {"a":1}': None, '{"a": 1': None, "}{": None, "": None, None: None, 'so: {"a": [{}, {}]}\n': '{"a": [{}, {}]}',
+    }
+    got = spark.createDataFrame([(t,) for t in want], "t string").select("t", S.json_object(F.col("t")).alias("b")).collect()
+    assert {r["t"]: r["b"] for r in got} == want
+
+
 def test_require_and_manifest(spark):
     df = spark.createDataFrame([("x", 3)], "name string, n long")
     release.require(df, {"x": 3})
