@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +135,50 @@ def near_hashes(df: DataFrame, key: str, hash_col: str, most_bits: int = 2) -> D
     return a.join(b, ["_at", "_piece"]).filter("a < b").select("a", "b", bits.cast("int").alias("bits")).filter(F.col("bits") <= most_bits).distinct()
 
 
+def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``hash``, the 64-bit SimHash of the whole text as 16 hex digits; null for a text without words.
+
+    Each occurrence of a lower-cased word votes by the first 64 bits of its md5; a bit is set if most votes are.
+    """
+
+    def run(batches):
+        memo: dict[str, bytes] = {}
+        for pdf in batches:
+            out = []
+            for t in pdf["_text"]:
+                words = re.findall(r"[^ \n\t\r]+", t) if t else []
+                if len(memo) > 500_000:
+                    memo.clear()
+                for w in set(words).difference(memo):
+                    memo[w] = hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:8]
+                votes = np.unpackbits(np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                out.append(np.packbits(2 * votes > len(words)).tobytes().hex() if words else None)
+            yield pd.DataFrame({"_key": pdf["_key"], "hash": out})
+
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.lower(text).alias("_text"))
+    return rows.mapInPandas(run, "_key string, hash string").select(F.col("_key").cast(df.schema[key].dataType).alias(key), "hash")
+
+
+def near_hash_links(df: DataFrame, key: str, hash_col: str, most_bits: int = 2) -> DataFrame:
+    """Links ``a``, ``b``, ``bits`` from which all pairs within ``most_bits`` bits (at most 2) follow.
+
+    Equal hashes are one node, named by its least key, and linked to it with 0 bits: their pairs are not written out.
+    Nodes are compared if two of four 16-bit pieces are equal.  Null keys and hashes are near nothing.
+    """
+    if not 0 <= most_bits <= 2:
+        raise ValueError("two equal pieces of four find at most 2 differing bits")
+    rows = df.filter(F.col(key).isNotNull() & (F.length(hash_col) == 16)).select(F.col(key).alias("b"), F.col(hash_col).alias("_h")).distinct()
+    nodes = rows.groupBy("_h").agg(F.min("b").alias("a"))
+    copies = rows.join(nodes, "_h").filter("a <> b").select("a", "b", F.lit(0).alias("bits"))
+    piece = lambda i: F.substring("_h", 1 + 4 * i, 4)
+    pairs = F.posexplode(F.array(*(F.concat(piece(i), piece(j)) for i in range(4) for j in range(i + 1, 4)))).alias("_at", "_piece")
+    cut = nodes.select("a", "_h", pairs)
+    x, y = cut.select(F.col("a").alias("x"), F.col("_h").alias("_hx"), "_at", "_piece"), cut.select(F.col("a").alias("y"), F.col("_h").alias("_hy"), "_at", "_piece")
+    bits = S.hex_distance(F.col("_hx"), F.col("_hy")).cast("int")
+    near = x.join(y, ["_at", "_piece"]).filter("_hx < _hy").select("_hx", "_hy", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), bits.alias("bits")).filter(F.col("bits") <= most_bits)
+    return copies.unionByName(near.distinct().select("a", "b", "bits"))
+
+
 def draw_strata(frame: DataFrame, key: str, alike: str, strata: dict[str, Column], need: int, seed: int, vetoed: tuple = ()) -> DataFrame:
     """``need`` units of each stratum in turn, in seeded order, none like one drawn before (equal ``alike``).
 

@@ -172,6 +172,15 @@ def near_hash_pairs(spark, d):
     return R.near_hashes(h, "vec_id", "h", 2)
 
 
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \n\t\r]+')) AS w FROM documents), m AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS m FROM w),
+v AS (SELECT doc_id, i, 2 * count(*) FILTER (WHERE ((m >> (63 - i)::UBIGINT) & 1::UBIGINT) = 1) > count(*) AS one FROM m, range(64) r(i) GROUP BY 1, 2),
+h AS (SELECT doc_id, string_agg(one::INTEGER::VARCHAR, '' ORDER BY i) AS h FROM v GROUP BY 1), g AS (SELECT h, min(doc_id) AS a FROM h GROUP BY 1)
+SELECT a, doc_id AS b, 0 AS bits FROM h JOIN g USING (h) WHERE doc_id <> a UNION ALL SELECT least(x.a, y.a), greatest(x.a, y.a), bit_count(xor(x.h::BIT, y.h::BIT))::INTEGER FROM g x JOIN g y ON x.h < y.h WHERE bit_count(xor(x.h::BIT, y.h::BIT)) <= 2""")
+def near_dup_hamming(spark, d):
+    """Documents whose SimHashes are within 2 bits; copies are linked to the least id of their hash only."""
+    return R.near_hash_links(R.simhash(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "hash", 2)
+
+
 GATES = "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN n_chars >= 500 END AS g1, CASE WHEN doc_id % 5 <> 0 THEN lang = 'en' END AS g2, CASE WHEN doc_id % 11 <> 0 THEN n_chars % 2 = 0 END AS g3 FROM documents"
 
 

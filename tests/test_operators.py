@@ -1,6 +1,8 @@
 """Hand-written cases and properties."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,38 @@ def test_near_hashes(spark):
         relational.near_hashes(df, "k", "h", 4)
 
 
+def test_simhash_links_near_texts_and_not_every_pair_of_copies(spark):
+    body = " ".join(f"word{i}" for i in range(400))
+    texts = {9: body, 1: body, 2: body.upper(), 3: body + " one", 4: " ".join(f"other{i}" for i in range(400)), 5: None, 6: " \n"}
+    hashes = relational.simhash(spark.createDataFrame([*texts.items(), (None, body)], "k long, t string"), "k", "t")
+    got = {r["k"]: r["hash"] for r in hashes.collect()}
+    assert got[9] == got[1] == got[2] == got[None] and got[5] is None and got[6] is None
+
+    def votes(text, bit):
+        return sum(1 if int(hashlib.md5(w.encode()).hexdigest()[:16], 16) >> bit & 1 else -1 for w in text.lower().split())
+
+    assert all(int(got[k], 16) == sum((votes(texts[k], b) > 0) << b for b in range(64)) for k in (1, 3, 4))
+    links = {tuple(r) for r in relational.near_hash_links(hashes, "k", "hash").collect()}
+    bits = bin(int(got[1], 16) ^ int(got[3], 16)).count("1")
+    assert links == {(1, 2, 0), (1, 9, 0)} | ({(1, 3, bits)} if bits <= 2 else set())
+
+
+def test_near_hash_links_miss_no_pair(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    hashes = {k: base[k % 20] ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(3))}) for k in range(200)}
+    df = spark.createDataFrame([(k, f"{h:016x}") for k, h in hashes.items()], "k long, h string")
+    node = {}
+    for k, h in sorted(hashes.items()):
+        node.setdefault(h, k)
+    want = {(node[h], k, 0) for k, h in hashes.items() if node[h] != k}
+    want |= {(a, b, bin(g ^ h).count("1")) for g, a in node.items() for h, b in node.items() if a < b and bin(g ^ h).count("1") <= 2}
+    got = [tuple(r) for r in relational.near_hash_links(df, "k", "h").collect()]
+    assert sorted(got) == sorted(want)
+    with pytest.raises(ValueError):
+        relational.near_hash_links(df, "k", "h", 3)
+
+
 def test_cascade_is_idempotent(spark, tmp_path):
     items = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "uid string, x int")
     calls = []
