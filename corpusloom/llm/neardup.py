@@ -316,11 +316,51 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     return out.withColumn("kept", F.col("doc_id") == F.col("group_id"))
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with an id of their own, with it as ``_row``, and the others (null and repeated ids) with fresh numbers, if any."""
+    own = F.col("doc_id").cast("long")
+    ids = docs.select(own.alias("_id")).groupBy("_id").agg(F.count("*").alias("n"))
+    shared_ids = shared.materialise(ids.filter("_id is null or n > 1").select("_id"), "shared-ids")
+    if shared_ids.isEmpty():
+        return docs.withColumn("_row", own), None
+    lo, hi = docs.agg(F.coalesce(F.min(own), F.lit(0)), F.coalesce(F.max(own), F.lit(0))).first()
+    number = F.monotonically_increasing_id()
+    fresh = F.lit(hi + 1) + number if hi < 1 << 62 else F.lit(lo - 1) - number
+    if hi >= 1 << 62 and lo < -(1 << 62):
+        raise ValueError(f"ids from {lo} to {hi} leave no numbers for rows whose ids are null or repeated")
+    same = own.eqNullSafe(F.col("_id"))
+    others = shared.materialise(docs.join(shared_ids, same, "left_semi").withColumn("_row", fresh), "shared-id-rows")
+    return docs.join(shared_ids, same, "left_anti").withColumn("_row", own), others
+
+
+def _row_groups(own: DataFrame, others: DataFrame, **options) -> DataFrame:
+    """``_row``, ``doc_id``, ``group_id``, ``kept`` of every row; in each group one row is kept, null ids last."""
+    rows = own.unionByName(others).select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), F.col("group_id").alias("_group"))
+    out = shared.materialise(groups.join(rows.select("_row", "doc_id"), "_row"), "row-groups")
+    first = out.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return out.join(first, "_group").select("_row", "doc_id", F.col("first.doc_id").alias("group_id"), (F.col("_row") == F.col("first._row")).alias("kept"))
+
+
+def near_duplicate_rows(docs: DataFrame, **options) -> DataFrame:
+    """As ``near_duplicates``, but each row counts as a document, also where ids are null or repeated.
+
+    A group's ``group_id`` is null only if all its ids are.
+    """
+    own, others = _rows(docs)
+    return near_duplicates(docs, **options) if others is None else _row_groups(own, others, **options).drop("_row")
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group, in their own columns."""
-    gone = shared.materialise(near_duplicates(docs.select("doc_id", "text"), **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group, in their own columns."""
+    own, others = _rows(docs)
+    if others is None:
+        groups, rows = near_duplicates(docs.select("doc_id", "text"), **options).withColumnRenamed("doc_id", "_row"), own
+    else:
+        groups, rows = _row_groups(own.select("_row", "doc_id", "text"), others.select("_row", "doc_id", "text"), **options), own.unionByName(others)
+    gone = shared.materialise(groups.filter("not kept").select(F.col("_row").alias("_gone")), "duplicates")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicate_rows(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))

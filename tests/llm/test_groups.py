@@ -83,6 +83,20 @@ def test_empty_and_repeated_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    copied, unique, null_only = ("text number %d with six words more" % n for n in range(3))
+    rows = [(3, copied), (5, copied), (5, unique), (7, "same row twice in this table"), (7, "same row twice in this table"), (None, copied), (None, null_only), (None, null_only), (None, None), (8, "")]
+    for shift in (0, (1 << 63) - 9):
+        df = spark.createDataFrame([(None if i is None else i + shift, t, "x") for i, t in rows], "doc_id long, text string, other string").repartition(3)
+        out = sorted(((r["doc_id"] is None, (r["doc_id"] or shift) - shift, None if r["group_id"] is None else r["group_id"] - shift, r["kept"]) for r in neardup.near_duplicate_rows(df.select("doc_id", "text")).collect()), key=str)
+        want = [(False, 3, 3, True), (False, 5, 3, False), (False, 5, 5, True), (False, 7, 7, True), (False, 7, 7, False), (False, 8, 8, True), (True, 0, 3, False), (True, 0, None, True), (True, 0, None, False), (True, 0, None, True)]
+        assert out == sorted(want, key=str)
+        kept = neardup.drop_near_duplicates(df)
+        assert kept.columns == df.columns
+        left = [(3, copied), (5, unique), (7, "same row twice in this table"), (None, null_only), (None, None), (8, "")]
+        assert sorted(map(str, ((None if r[0] is None else r[0] - shift, r[1]) for r in kept.collect()))) == sorted(map(str, left))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
