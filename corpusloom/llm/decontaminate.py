@@ -3,7 +3,8 @@
 A shard is a run of training documents, as many as hold about ``shard_words`` words.  Words are numbered by the
 benchmark's vocabulary (0: not in it), so a suffix can only match if it starts a run of known words that is long enough;
 these suffixes are sorted into the shard's suffix array, and every benchmark suffix is binary-searched in it.  The
-ranges found give all locations; matches are then extended to their longest.  Nothing is shuffled.
+ranges found give all locations, and with them the verdicts; only ``matches`` extends them to their longest.  Nothing
+is shuffled.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Benchmark:
     """Items as word numbers, their unique windows, and which items hold each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window, self.vocabulary, self.items = window, {}, []
         number = self.vocabulary.setdefault
         for item_id, text in items:
@@ -109,8 +110,9 @@ class Shard:
             items.setdefault(doc, set()).update(bench.holders[window])
         n_items, digests, none = np.zeros(len(self.counts), np.int64), [], hashlib.sha256(b"").hexdigest()
         for doc in range(len(self.counts)):
-            names = sorted({bench.items[k][0] for k in items[doc]}) if doc in items else []
-            n_items[doc] = len(names)
+            found = {bench.items[k][0] for k in items[doc]} if doc in items else set()
+            names = sorted(found - {None})
+            n_items[doc] = len(found)
             digests.append(hashlib.sha256(",".join(names).encode()).hexdigest() if names else none)
         return pd.DataFrame({"n_words": self.counts, "n_hit": n_hit, "n_items": n_items, "items_sha256": digests, "contaminated": (n_hit > 0) & (share * n_hit >= self.counts)})
 
@@ -139,9 +141,10 @@ class Shard:
 def load_benchmark(benchmark: DataFrame, window: int = WINDOW, max_chars: int = 1 << 27) -> Benchmark:
     """The benchmark goes to every task, so its size is checked first: over ``max_chars`` characters is a ValueError.
 
-    Rows with null item_id are left out; null and word-less texts have no windows.  Repeated item_ids count once.
+    Null item_ids count as one item, without a name in the digest; null and word-less texts have no windows.  Repeated
+    item_ids count once.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > max_chars:
         raise ValueError(f"the benchmark has {size} characters; at most {max_chars} are sent to every task")

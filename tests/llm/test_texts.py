@@ -196,3 +196,20 @@ def test_great_ids_stay_whole_beside_nulls(spark):
     assert {r["doc_id"] for r in decontaminate.matches(docs, bench).collect()} == {great}
     assert {r["doc_id"] for r in langid.identify(docs, None).collect()} == {great, None, 7}
     assert {r["doc_id"] for r in packing.pack_documents(docs, public_path("word_bpe_49k.json")).collect()} == {great, None, 7}
+
+
+def test_benchmark_items_without_an_id_hit_as_in_sql(spark):
+    import duckdb
+
+    words = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[20:] + ["x"])), (3, "none of them"), (4, None)]
+    items = [(None, " ".join(words[:15])), (None, " ".join(words[2:18])), ("b", " ".join(words[22:36]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    con = duckdb.connect()
+    for name, rows, kind in (("documents", docs, "doc_id BIGINT, text VARCHAR"), ("benchmark", items, "item_id VARCHAR, text VARCHAR")):
+        con.sql(f"create table {name} ({kind})")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    got = sorted(map(tuple, decontaminate.contamination(df, bench).collect()))
+    assert got == sorted(con.sql(decontaminate.OP7_SQL).fetchall()) and [r[3] for r in got] == [2, 1, 0, 0]
+    assert {r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()} == {3, 4}
+    assert {(r["item_id"], r["n_words"]) for r in decontaminate.matches(df, bench).filter("doc_id = 1").collect()} == {(None, 15), (None, 16), ("b", 14)}
