@@ -8,29 +8,34 @@ from pyspark.sql import functions as F
 from . import shared
 
 
-def _minima(edges: DataFrame, label: str) -> DataFrame:
-    """Least neighbour of each ``u``; partial minima meet before the shuffle, so a hub is one row of each task."""
-    return shared.materialise(edges.groupBy("u").agg(F.min("v").alias("m")), label)
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: shared.Scratch | None = None, most_rounds: int = 60) -> DataFrame:
     """``edges``: longs ``a``, ``b``.  -> ``node``, ``root`` (the least node of its component) for nodes with an edge.
 
-    Self-edges, nulls and repeated edges don't matter.  The number of rounds grows with the logarithm of the longest path.
+    Self-edges, nulls and repeated edges don't matter; no edges give an empty result.  The number of rounds grows with the
+    logarithm of the longest path.  Minima of neighbours are aggregated before the shuffle, so a hub is one row of each
+    task.  The result reads a table of ``scratch`` or, without one, a table of its own; earlier rounds' tables are deleted.
     """
+    spark = edges.sparkSession
+    old = shared.Scratch(spark, "edges", scratch)
     start = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = shared.materialise(start, "edges"), None
+    now, before = old.put(start, "edges"), None
     for _ in range(most_rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
-        before = state
+        before, new = state, shared.Scratch(spark, "edges", scratch)
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = _minima(both, "large-star")
-        large = shared.materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
-        least = _minima(large, "small-star")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = new.put(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = shared.materialise(small.union(least.select("u", "m")).distinct(), "small-star")
+        now = new.put(small.union(least.select("u", "m")).distinct(), "small-star")
+        old.drop()
+        old = new
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    if scratch is None:
+        out = shared.materialise(out, "components")
+        old.drop()
+    return out

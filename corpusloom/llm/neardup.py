@@ -6,22 +6,28 @@
    Jaccard similarity of the weighted sets.  A text that repeats shingles has a second signature, of weights of one,
    whose registers agree with the plain Jaccard similarity; for other texts the two are equal.
 2. Equal texts are one node from here on.
-3. Bands of registers of both signatures give buckets.  Within a bucket, signatures are compared and nodes that look
-   like at least ``0.6`` similar by either are linked to the bucket's first such node; the components of these links are canopies.
-   Large buckets are compared as pairs of blocks, so no task holds more than two blocks, and no pair is written out.
-4. Within a canopy, again by blocks, similarities are computed exactly from the shingles; links of at least the
+3. Bands of registers of both signatures give buckets.  Every node is compared with its buckets' hubs (a bucket's least
+   node) by signature; nodes that look like at least ``LIKELY`` similar by either are linked.  Buckets whose nodes are
+   then still in several components are compared in full, but only across components.  Components of all these links are
+   canopies.
+4. Similarities are computed exactly from the shingles: each node with the hub that it looks most like, then what is
+   left of a canopy with one of its nodes, then the rest in full, again only across components.  Links of at least the
    threshold are unions, and components of those are the groups.
 
+Hubs are copied to every part of their spokes, so stars write a row for each spoke and task at most.  Comparisons in
+full are split into pairs of blocks; a large component's blocks meet those of others, never each other.  So a group of m
+near copies of one text writes rows in proportion to m.  Only where m different texts resemble each other by
+``LIKELY`` or more and yet not by the threshold does work grow as their square, spread over blocks.
+
 A link counts if probability Jaccard or plain Jaccard of the shingle sets reaches the threshold; where no shingle repeats
-the two are equal.  Work in a group of m different texts that all resemble each other is m squared in compared
-signatures, spread over blocks, but its rows written are m times its blocks.
+the two are equal.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -29,7 +35,7 @@ from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BAND = 224, 7
-LIKELY = 0.6
+LIKELY = 0.7
 SIGNED = "doc_id long, key binary, sig binary, plain binary"
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -123,54 +129,84 @@ class Union:
         self.up[max(i, j)] = min(i, j)
 
 
-def likely_links(sigs: np.ndarray, least: float = LIKELY, plains: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(i, root) for rows whose signatures, or whose plain ones, look similar, directly or over others."""
-    u = Union(len(sigs))
-    for i in range(len(sigs) - 1):
-        same = (sigs[i + 1 :] == sigs[i]).sum(1)
+def _sides(n: int, classes, sides) -> tuple[Union, np.ndarray, np.ndarray]:
+    """Unions of what is in one class already, and the rows to compare: one side with the other, or all with later ones."""
+    u = Union(n)
+    if classes is not None:
+        first: dict = {}
+        for i, c in enumerate(classes.tolist()):
+            u.join(first.setdefault(c, i), i)
+    every = np.arange(n)
+    return (u, every, every) if sides is None else (u, every[sides == 0], every[sides == 1])
+
+
+def likely_links(sigs: np.ndarray, plains: np.ndarray | None = None, least: float = LIKELY, classes: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of rows whose signatures, or whose plain ones, look similar, as many as unite what belongs together.
+
+    ``classes``: rows that are united already.  ``sides``: compare rows of side 0 with rows of side 1 only.
+    """
+    u, left, right = _sides(len(sigs), classes, sides)
+    out = []
+    for i in left.tolist():
+        others = right if sides is not None else right[i + 1 :]
+        if classes is not None:
+            others = others[classes[others] != classes[i]]
+        if not len(others):
+            continue
+        same = (sigs[others] == sigs[i]).sum(1)
         if plains is not None:
-            same = np.maximum(same, (plains[i + 1 :] == plains[i]).sum(1))
-        hits = np.flatnonzero(estimate(same, sigs.shape[1]) >= least)
-        for j in hits.tolist():
-            u.join(i, i + 1 + j)
-    return [(i, r) for i in range(len(sigs)) if (r := u.find(i)) != i]
+            same = np.maximum(same, (plains[others] == plains[i]).sum(1))
+        for j in others[estimate(same, sigs.shape[1]) >= least].tolist():
+            if u.find(i) != u.find(j):
+                u.join(i, j)
+                out.append((i, j))
+    return out
 
 
-def verified_links(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """(i, root) for sets linked, directly or over others, by exact similarity of ``threshold`` or more.
+def verified_links(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD, classes: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets of exact similarity of ``threshold`` or more, as many as unite what belongs together.
 
-    The common part of two distributions, the sum of the lesser shares, bounds probability Jaccard from above, so the
-    exact value is computed only where that sum reaches the threshold and the sets aren't linked yet.
+    ``classes`` and ``sides`` as in ``likely_links``.  The common part of two distributions, the sum of the lesser shares,
+    bounds probability Jaccard from above, so the exact value is computed only where that sum reaches the threshold and
+    the sets aren't united yet.
     """
-    n, u = len(sets), Union(len(sets))
+    n = len(sets)
+    u, left, right = _sides(n, classes, sides)
     sizes = np.array([len(h) for h, _ in sets], np.int64)
-    flat = np.concatenate([h for h, _ in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    values, code = np.unique(flat, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    shares = np.concatenate([w / w.sum() for _, w in sets])
-    posting, posted, first = owner[order], shares[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
     ends = np.cumsum(sizes)
+    values, code = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    shares = np.concatenate([w / w.sum() for _, w in sets])
+    posts = np.isin(np.repeat(np.arange(n), sizes), right)
+    order = np.flatnonzero(posts)[np.argsort(code[posts], kind="stable")]
+    posting, posted = np.repeat(np.arange(n), sizes)[order], shares[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(code[posts], minlength=len(values)))])
     uneven = np.array([bool((w > 1).any()) for _, w in sets])
-    for i in range(n):
-        own = code[ends[i] - sizes[i] : ends[i]]
+    out = []
+    for i in left.tolist():
+        wanted = np.zeros(n, bool)
+        wanted[right if sides is not None else right[i + 1 :]] = True
+        if classes is not None:
+            wanted &= classes != classes[i]
+        if not wanted.any():
+            continue
+        span = slice(ends[i] - sizes[i], ends[i])
+        own = code[span]
         lo, k = first[own], first[own + 1] - first[own]
         at = np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())
         hits = posting[at]
-        common = np.bincount(hits, minlength=n)[i + 1 :]
-        plain = common / (sizes[i] + sizes[i + 1 :] - common)
-        for j in np.flatnonzero(plain >= threshold).tolist():
-            u.join(i, i + 1 + j)
-        if not (uneven[i] or uneven[i + 1 :].any()):
-            continue
-        least = np.minimum(np.repeat(shares[ends[i] - sizes[i] : ends[i]], k), posted[at])
-        bound = np.bincount(hits, least, minlength=n)[i + 1 :]
-        open_ = (plain < threshold) & (bound >= threshold - 1e-9) & (uneven[i] | uneven[i + 1 :])
-        for j in np.flatnonzero(open_).tolist():
-            o = i + 1 + j
-            if u.find(i) != u.find(o) and probability_jaccard(*sets[i], *sets[o]) >= threshold:
-                u.join(i, o)
-    return [(i, r) for i in range(n) if (r := u.find(i)) != i]
+        common = np.bincount(hits, minlength=n)
+        plain = common / np.maximum(sizes[i] + sizes - common, 1)
+        good = wanted & (plain >= threshold)
+        if uneven[i] or (wanted & uneven).any():
+            least = np.minimum(np.repeat(shares[span], k), posted[at])
+            open_ = wanted & ~good & (np.bincount(hits, least, minlength=n) >= threshold - 1e-9) & (uneven[i] | uneven)
+        else:
+            open_ = np.zeros(n, bool)
+        for j in np.flatnonzero(good | open_).tolist():
+            if u.find(i) != u.find(j) and (good[j] or probability_jaccard(*sets[i], *sets[j]) >= threshold):
+                u.join(i, j)
+                out.append((i, j))
+    return out
 
 
 def sign(docs: DataFrame, words: int = WORDS, registers: int = REGISTERS) -> DataFrame:
@@ -232,135 +268,234 @@ def _runs(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(pdf))
 
 
-def _in_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Rows of key's group (``n`` rows, node in ``rep``) for each pair of blocks that they belong to: ``i``, ``j``."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    split = rows.withColumn("pair", F.explode(pairs)).select(*[c for c in rows.columns if c != "n"], "pair.i", "pair.j")
-    return split.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "rep")
+def _stars(pairs: DataFrame, most: int) -> DataFrame:
+    """``pairs``: ``hub``, ``node``.  -> ``hub``, ``part``, ``node``, ``side``: spokes (1) in parts of about ``most``, and
+    the hub (0) in each part.
+    """
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    spokes = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", F.lit(1).alias("side"))
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(0).alias("side"))
+    return spokes.unionByName(hubs)
 
 
-def _canopies(nodes: DataFrame, band: int, registers: int, block: int, least: float) -> DataFrame:
-    bands = registers // band
-    keys = lambda sig: F.array(*(F.xxhash64(F.lit(b), F.substring(sig, b * band + 1, band)) for b in range(bands)))
-    every = F.when(F.col("plain").isNull(), keys("sig")).otherwise(F.array_union(keys("sig"), keys("plain")))
-    rows = nodes.select(F.explode(every).alias("bucket"), "rep")
-    shared_buckets = shared.materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = rows.join(shared_buckets, "bucket").join(nodes.select("rep", "sig", "plain"), "rep").select("bucket", "rep", "sig", "plain", "n")
-
-    def run(batches):
-        for pdf in _grouped(batches, ["bucket", "i", "j"]):
-            starts, ends = _runs(pdf, ["bucket", "i", "j"])
-            reps, sigs = pdf["rep"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-            uneven = pdf["plain"].notna().to_numpy()
-            plains = sigs.copy()
-            if uneven.any():
-                plains[uneven] = np.frombuffer(b"".join(pdf["plain"][uneven]), np.uint8).reshape(-1, sigs.shape[1])
-            two = starts[ends - starts == 2]
-            same = np.maximum((sigs[two] == sigs[two + 1]).sum(1), (plains[two] == plains[two + 1]).sum(1))
-            alike = two[estimate(same, registers) >= least]
-            a, b = [reps[alike + 1]], [reps[alike]]
-            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                links = np.array(likely_links(sigs[s:e], least, plains[s:e] if uneven[s:e].any() else None), np.int64).reshape(-1, 2)
-                a.append(reps[s + links[:, 0]])
-                b.append(reps[s + links[:, 1]])
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-
-    return components(_in_blocks(members, "bucket", block).mapInPandas(run, "a long, b long"))
-
-
-def _verify(docs: DataFrame, canopies: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
-    canopies = shared.materialise(canopies, "canopies")
-    sizes = shared.materialise(canopies.groupBy("root").agg(F.count("*").alias("n")), "canopy-sizes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    wanted = canopies.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("canopy"), "n")
+def _across(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """``rows``: ``key``, ``node``, ``class``.  -> those with ``i``, ``j``, ``own``: a row for each pair of blocks in which
+    a node of block ``own`` meets nodes of other classes.
 
-    def cut(batches):
-        memo = WordHash()
-        for pdf in batches:
-            sets = [shingles(t, words, memo) for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["rep"], "canopy": pdf["canopy"], "n": pdf["n"], "hashes": [h.tobytes() for h, _ in sets], "counts": [w.astype("<u4").tobytes() for _, w in sets]})
+    A class of more than ``block`` nodes of a key has blocks of its own, which need not meet each other; smaller ones
+    share blocks.
+    """
+    sizes = rows.groupBy(key, "class").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    before = Window.partitionBy(key).orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.select(key, "class", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("first"))
+    ceiling = F.ceil(F.coalesce(F.sum(F.when(F.col("n") <= block, F.col("n"))), F.lit(0)) / block).cast("long")
+    of_large = F.coalesce(F.sum(F.when(F.col("n") > block, F.ceil(F.col("n") / block))), F.lit(0)).cast("long")
+    keys = sizes.groupBy(key).agg(ceiling.alias("mixed"), (ceiling + of_large).alias("all"))
+    placed = rows.join(keys, key).join(large, [key, "class"], "left")
+    mine = F.col("mixed") + F.col("first")
+    own = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("node"), "mixed")).otherwise(mine + F.pmod(F.xxhash64("node"), "blocks"))
+    meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: F.col("blocks").isNull() | (o < mine) | (o >= mine + F.col("blocks")))
+    out = placed.select(key, "node", "class", own.alias("own"), meets.alias("meets")).select(key, "node", "class", "own", F.explode("meets").alias("o"))
+    return out.select(key, "node", "class", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+
+
+def _compare(rows: DataFrame, keys: list[str], links) -> DataFrame:
+    """``a``, ``b`` of what ``links(group)`` (pairs of positions in a frame of one group) finds in groups of ``keys``."""
 
     def run(batches):
-        keys = ["canopy", "i", "j"]
         for pdf in _grouped(batches, keys):
             a, b = [], []
             for s, e in zip(*_runs(pdf, keys)):
                 part = pdf.iloc[s:e]
-                sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, "<u4").astype(np.int64)) for h, w in zip(part["hashes"], part["counts"])]
-                reps = part["rep"].to_numpy()
-                for i, root in verified_links(sets, threshold):
-                    a.append(reps[i])
-                    b.append(reps[root])
+                nodes = part["node"].to_numpy()
+                for i, j in links(part):
+                    a.append(nodes[i])
+                    b.append(nodes[j])
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    rows = wanted.join(texts, "rep").select("rep", "canopy", "n", "text").mapInPandas(cut, "rep long, canopy long, n long, hashes binary, counts binary")
-    return components(_in_blocks(rows, "canopy", block).mapInPandas(run, "a long, b long"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(run, "a long, b long")
+
+
+def _options(part: pd.DataFrame) -> dict:
+    """Classes and sides of a group for the comparing functions; a block meets itself without sides."""
+    if "side" in part:
+        return {"sides": part["side"].to_numpy()}
+    i, j = part["i"].iloc[0], part["j"].iloc[0]
+    return {"classes": part["class"].to_numpy(), "sides": None if i == j else (part["own"] == j).to_numpy().astype(np.int8)}
+
 
+def _signatures(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """Signatures, and plain ones (the same where no shingle repeats) if any differ."""
+    sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
+    uneven = part["plain"].notna().to_numpy()
+    if not uneven.any():
+        return sigs, None
+    plains = sigs.copy()
+    plains[uneven] = np.frombuffer(b"".join(part["plain"][uneven]), np.uint8).reshape(-1, sigs.shape[1])
+    return sigs, plains
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, registers: int = REGISTERS, band: int = BAND, likely: float = LIKELY, block: int = 512, canopy_block: int = 128) -> DataFrame:
+
+def _by_signature(least: float):
+    return lambda part: likely_links(*_signatures(part), least, **_options(part))
+
+
+def _likely_stars(rows: DataFrame, least: float) -> DataFrame:
+    """``a`` (a hub) and ``b`` (a spoke of it) whose signatures look similar."""
+
+    def run(batches):
+        for pdf in _grouped(batches, ["hub", "part"]):
+            starts, ends = _runs(pdf, ["hub", "part"])
+            nodes, (sigs, plains) = pdf["node"].to_numpy(), _signatures(pdf)
+            spoke = np.flatnonzero(pdf["side"].to_numpy() == 1)
+            hub = np.repeat(starts, ends - starts)[spoke]
+            same = (sigs[spoke] == sigs[hub]).sum(1)
+            if plains is not None:
+                same = np.maximum(same, (plains[spoke] == plains[hub]).sum(1))
+            alike = estimate(same, sigs.shape[1]) >= least
+            yield pd.DataFrame({"a": nodes[hub[alike]], "b": nodes[spoke[alike]]})
+
+    return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInPandas(run, "a long, b long")
+
+
+def _by_shingles(threshold: float):
+    def links(part: pd.DataFrame) -> list[tuple[int, int]]:
+        sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, "<u4").astype(np.int64)) for h, w in zip(part["hashes"], part["counts"])]
+        return verified_links(sets, threshold, **_options(part))
+
+    return links
+
+
+def _classed(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """``rows`` (``key``, ``node``) with ``class``, the root of the node or itself, of keys with several classes."""
+    classed = rows.join(roots, "node", "left").select(key, "node", F.coalesce("root", "node").alias("class"))
+    mixed = classed.groupBy(key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(key)
+    return classed.join(mixed, key)
+
+
+def _united(roots: DataFrame, links: DataFrame, scratch) -> DataFrame:
+    """Components ``roots`` with further ``links``."""
+    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), scratch)
+
+
+def _canopies(nodes: DataFrame, scratch, band: int, registers: int, least: float, spokes: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(``node``, ``root``) of nodes that look like another one, and the likely stars (``node``, ``hub``, ``buckets``)."""
+    bands = registers // band
+    keys = lambda sig: F.array(*(F.xxhash64(F.lit(b), F.substring(sig, b * band + 1, band)) for b in range(bands)))
+    every = F.when(F.col("plain").isNull(), keys("sig")).otherwise(F.array_union(keys("sig"), keys("plain")))
+    rows = nodes.select(F.explode(every).alias("bucket"), F.col("rep").alias("node"))
+    hubs = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").select("bucket", "hub")
+    members = scratch.put(rows.join(hubs, "bucket"), "buckets")
+    signatures = nodes.select(F.col("rep").alias("node"), "sig", "plain")
+    pairs = scratch.put(members.filter("node <> hub").groupBy("hub", "node").agg(F.count("*").alias("buckets")), "stars")
+    stars = _stars(pairs.select("hub", "node"), spokes).join(signatures, "node")
+    likely = scratch.put(_likely_stars(stars, least), "likely-stars")
+    first = components(likely, scratch)
+    open_ = scratch.put(_classed(members.select("bucket", "node"), "bucket", first), "open-buckets")
+    more = scratch.put(_compare(_across(open_, "bucket", block).join(signatures, "node"), ["bucket", "i", "j"], _by_signature(least)), "likely-links")
+    return _united(first, more, scratch), likely.join(pairs, (F.col("a") == F.col("hub")) & (F.col("b") == F.col("node"))).select("node", "hub", "buckets")
+
+
+def _verify(docs: DataFrame, canopies: DataFrame, stars: DataFrame, scratch, words: int, threshold: float, spokes: int, block: int, rounds: int) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+
+    def cut(batches):
+        memo = WordHash()
+        for pdf in batches:
+            sets = [shingles(t, words, memo) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "hashes": [h.tobytes() for h, _ in sets], "counts": [w.astype("<u4").tobytes() for _, w in sets]})
+
+    sets = scratch.put(canopies.select("node").join(texts, "node").mapInPandas(cut, "node long, hashes binary, counts binary"), "shingles")
+    compare = lambda rows, keys: scratch.put(_compare(rows.join(sets, "node"), keys, _by_shingles(threshold)), "links")
+    best = stars.groupBy("node").agg(F.max_by("hub", F.struct("buckets", -F.col("hub"))).alias("hub"))
+    roots = components(compare(_stars(best, spokes), ["hub", "part"]), scratch)
+    inside = canopies.select("node", F.col("root").alias("canopy"))
+    for n in range(rounds):
+        open_ = scratch.put(_classed(inside, "canopy", roots), "open-canopies")
+        if open_.isEmpty():
+            return roots
+        if n < rounds - 1:
+            hubs = open_.groupBy("canopy").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("class").alias("own")), F.xxhash64(F.lit(n), "node")).alias("h")).select("canopy", "h.*")
+            links = compare(_stars(open_.join(hubs, "canopy").filter("class <> own").select("hub", "node"), spokes), ["hub", "part"])
+        else:
+            links = compare(_across(open_, "canopy", block), ["canopy", "i", "j"])
+        roots = _united(roots, links, scratch)
+    return roots
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, registers: int = REGISTERS, band: int = BAND, likely: float = LIKELY, block: int = 1024, canopy_block: int = 128, spokes: int = 256, rounds: int = 2) -> DataFrame:
     """One row per document: ``doc_id``, ``group_id`` (the group's least doc_id), ``kept``.
 
     Texts without words (null, empty, blank) have no shingles: each is its own group.  Ties: the least doc_id is kept.
     Rows with equal doc_id count as one document and get a row each; rows with null doc_id are left out.  An empty
     table gives an empty result.
     """
+    scratch = shared.Scratch(docs.sparkSession, "near-duplicates")
     signed = shared.materialise(sign(docs, words, registers), "signed")
     some = signed.filter("key is not null")
-    nodes = shared.materialise(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("plain").alias("plain")), "nodes")
-    groups = _verify(docs, _canopies(nodes, band, registers, block, likely), words, threshold, canopy_block)
+    nodes = scratch.put(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("plain").alias("plain")), "nodes")
+    canopies, stars = _canopies(nodes, scratch, band, registers, likely, spokes, block)
+    groups = _verify(docs, canopies, stars, scratch, words, threshold, spokes, canopy_block, rounds)
     roots = nodes.select("key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("group_id"))
     roots = shared.materialise(roots, "roots")
-    out = signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
+    scratch.drop()
+    with_words = some.select("doc_id", "key").join(roots, "key").select("doc_id", "group_id")
+    out = with_words.unionByName(signed.filter("key is null").select("doc_id", F.col("doc_id").alias("group_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("group_id"))
 
 
-def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with an id of their own, with it as ``_row``, and the others (null and repeated ids) with fresh numbers, if any."""
-    own = F.col("doc_id").cast("long")
-    ids = docs.select(own.alias("_id")).groupBy("_id").agg(F.count("*").alias("n"))
-    shared_ids = shared.materialise(ids.filter("_id is null or n > 1").select("_id"), "shared-ids")
+def _rows(docs: DataFrame, row: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with an id of their own, with it as ``row``, and the others (null and repeated ids) with fresh numbers, if any."""
+    own, mark = F.col("doc_id").cast("long"), shared.fresh("id", [*docs.columns, row])
+    ids = docs.select(own.alias(mark)).groupBy(mark).agg(F.count("*").alias("n"))
+    shared_ids = shared.materialise(ids.filter(F.col(mark).isNull() | (F.col("n") > 1)).select(mark), "shared-ids")
     if shared_ids.isEmpty():
-        return docs.withColumn("_row", own), None
+        return docs.withColumn(row, own), None
     lo, hi = docs.agg(F.coalesce(F.min(own), F.lit(0)), F.coalesce(F.max(own), F.lit(0))).first()
     number = F.monotonically_increasing_id()
-    fresh = F.lit(hi + 1) + number if hi < 1 << 62 else F.lit(lo - 1) - number
+    new = F.lit(hi + 1) + number if hi < 1 << 62 else F.lit(lo - 1) - number
     if hi >= 1 << 62 and lo < -(1 << 62):
         raise ValueError(f"ids from {lo} to {hi} leave no numbers for rows whose ids are null or repeated")
-    same = own.eqNullSafe(F.col("_id"))
-    others = shared.materialise(docs.join(shared_ids, same, "left_semi").withColumn("_row", fresh), "shared-id-rows")
-    return docs.join(shared_ids, same, "left_anti").withColumn("_row", own), others
+    same = own.eqNullSafe(F.col(mark))
+    others = shared.materialise(docs.join(shared_ids, same, "left_semi").withColumn(row, new), "shared-id-rows")
+    return docs.join(shared_ids, same, "left_anti").withColumn(row, own), others
 
 
-def _row_groups(own: DataFrame, others: DataFrame, **options) -> DataFrame:
-    """``_row``, ``doc_id``, ``group_id``, ``kept`` of every row; in each group one row is kept, null ids last."""
-    rows = own.unionByName(others).select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), F.col("group_id").alias("_group"))
-    out = shared.materialise(groups.join(rows.select("_row", "doc_id"), "_row"), "row-groups")
-    first = out.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    return out.join(first, "_group").select("_row", "doc_id", F.col("first.doc_id").alias("group_id"), (F.col("_row") == F.col("first._row")).alias("kept"))
+def _row_groups(own: DataFrame, others: DataFrame, row: str, **options) -> DataFrame:
+    """``row``, ``doc_id``, ``group_id``, ``kept`` of every row; in each group one row is kept, null ids last."""
+    rows = own.unionByName(others).select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("row"), F.col("group_id").alias("group"))
+    out = shared.materialise(groups.join(rows.select("row", "doc_id"), "row"), "row-groups")
+    first = out.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return out.join(first, "group").select(F.col("row").alias(row), "doc_id", F.col("first.doc_id").alias("group_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def near_duplicate_rows(docs: DataFrame, **options) -> DataFrame:
     """As ``near_duplicates``, but each row counts as a document, also where ids are null or repeated.
 
-    A group's ``group_id`` is null only if all its ids are.
+    A group's ``group_id`` is null only if all its ids are.  Only ``doc_id`` and ``text`` are read.
     """
-    own, others = _rows(docs)
-    return near_duplicates(docs, **options) if others is None else _row_groups(own, others, **options).drop("_row")
+    docs = docs.select("doc_id", "text")
+    own, others = _rows(docs, "row")
+    return near_duplicates(docs, **options) if others is None else _row_groups(own, others, "row", **options).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group, in their own columns."""
-    own, others = _rows(docs)
+    """``docs`` with one row of each group, in their own columns, whatever these are called.
+
+    Texts without words all stay, as do rows with null or repeated ids unless an earlier row is near them; an empty table
+    stays empty.
+    """
+    row = shared.fresh("row", docs.columns)
+    own, others = _rows(docs, row)
     if others is None:
-        groups, rows = near_duplicates(docs.select("doc_id", "text"), **options).withColumnRenamed("doc_id", "_row"), own
+        groups, rows = near_duplicates(docs.select("doc_id", "text"), **options).withColumnRenamed("doc_id", row), own
     else:
-        groups, rows = _row_groups(own.select("_row", "doc_id", "text"), others.select("_row", "doc_id", "text"), **options), own.unionByName(others)
-    gone = shared.materialise(groups.filter("not kept").select(F.col("_row").alias("_gone")), "duplicates")
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)
+        groups, rows = _row_groups(own.select(row, "doc_id", "text"), others.select(row, "doc_id", "text"), row, **options), own.unionByName(others)
+    mark = shared.fresh("gone", rows.columns)
+    gone = shared.materialise(groups.filter("not kept").select(F.col(row).alias(mark)), "duplicates")
+    return rows.join(gone, F.col(row) == F.col(mark), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicate_rows(shared.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicate_rows(shared.read(spark, sf_dir, "documents"))

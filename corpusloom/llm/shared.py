@@ -1,11 +1,13 @@
 """Tables in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop)
-a temporary folder is made and set as the checkpoint folder.
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset and Spark runs in one
+process (tests, a laptop) a temporary folder is made and set as the checkpoint folder; elsewhere that is an error, since
+executors would not see it.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,22 +44,52 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
+    return _written(df, new_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+class Scratch:
+    """Tables of one computation in a folder of their own, deleted together once nothing reads them any more."""
 
+    def __init__(self, spark: SparkSession, label: str, inside: Scratch | None = None):
+        self.spark, self.n = spark, 0
+        self.folder = f"{inside.folder}/{label}-{uuid.uuid4().hex}" if inside else new_path(spark, label)
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.folder}/{self.n}-{label}")
+
+    def drop(self) -> None:
+        fs, p = _store(self.spark, self.folder)
+        fs.delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    fs, p = _store(spark, path)
+    return bool(fs.exists(p))
+
+
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Folders right below ``root`` whose job has finished: those with Spark's ``_SUCCESS`` marker, in order of name."""
+    fs, p = _store(spark, f"{root}/*/_SUCCESS")
+    return sorted(str(f.getPath().getParent().toString()) for f in fs.globStatus(p) or [])
+
+
+def fresh(name: str, taken) -> str:
+    """``name``, lengthened until it differs from all of ``taken``; Spark's names don't tell upper from lower case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

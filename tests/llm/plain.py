@@ -1,6 +1,8 @@
 """Brute-force versions, in plain Python, of what the operators compute."""
 
+import collections
 import hashlib
+import itertools
 import re
 
 PII = {
@@ -89,6 +91,25 @@ def probability_jaccard(a, b):
     return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in every) for d in set(a) & set(b))
 
 
+def near_links(docs, threshold=0.8):
+    """Pairs of ids whose plain or probability Jaccard reaches the threshold, of all pairs that share a shingle."""
+    sets = {i: shingle_counts(t) for i, t in docs.items()}
+    holders = {}
+    for i in sorted(docs):
+        for g in sets[i]:
+            holders.setdefault(g, []).append(i)
+    common = collections.Counter()
+    for ids in holders.values():
+        common.update(itertools.combinations(ids, 2))
+    out = []
+    for (a, b), n in common.items():
+        j = n / (len(sets[a]) + len(sets[b]) - n)
+        even = max(sets[a].values()) == 1 == max(sets[b].values())
+        if j >= threshold or (not even and j > 0.3 and probability_jaccard(sets[a], sets[b]) >= threshold):
+            out.append((a, b))
+    return out
+
+
 def near_groups(docs, threshold=0.8):
     """{doc_id: least doc_id of its group}."""
     up = {i: i for i in docs}
@@ -98,15 +119,7 @@ def near_groups(docs, threshold=0.8):
             x = up[x]
         return x
 
-    sets = {i: shingle_counts(t) for i, t in docs.items()}
-    ids = sorted(docs)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            common = len(sets[a].keys() & sets[b].keys())
-            if not common:
-                continue
-            j = common / len(sets[a].keys() | sets[b].keys())
-            if j >= threshold or (j > 0.3 and probability_jaccard(sets[a], sets[b]) >= threshold):
-                x, y = find(a), find(b)
-                up[max(x, y)] = min(x, y)
+    for a, b in near_links(docs, threshold):
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
     return {i: find(i) for i in docs}

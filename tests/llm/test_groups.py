@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from plain import SECRETS, contamination, near_groups, probability_jaccard, quality, shingle_counts, spans
+from plain import SECRETS, contamination, near_groups, near_links, probability_jaccard, quality, shingle_counts, spans
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, neardup
@@ -53,12 +53,93 @@ def test_signatures_estimate_probability_jaccard():
 @pytest.mark.parametrize("block", [7, 512])
 def test_groups_match_brute_force(spark, block):
     docs = corpus()
+    want = near_groups(docs)
     df = spark.createDataFrame([(i, t, "x", 9) for i, t in docs.items()], "doc_id long, text string, key string, n int").repartition(5)
-    out = neardup.near_duplicates(df, block=block, canopy_block=block).collect()
-    assert {r["doc_id"]: r["group_id"] for r in out} == near_groups(docs) and len(out) == len(docs)
+    out = neardup.near_duplicates(df, block=block, canopy_block=block, spokes=block).collect()
+    assert {r["doc_id"]: r["group_id"] for r in out} == want and len(out) == len(docs)
     assert all(r["kept"] == (r["doc_id"] == r["group_id"]) for r in out)
+
+
+def test_kept_rows_and_clashing_columns(spark):
+    docs = {i: t for i, t in corpus(2, 12).items()}
+    names = ["row", "_row", "gone", "id", "hub", "node", "key"]
+    df = spark.createDataFrame([(i, t, *[f"c{i}"] * len(names)) for i, t in docs.items()], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(5)
     kept = neardup.drop_near_duplicates(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(near_groups(docs).values())
+    rows = kept.collect()
+    assert kept.columns == df.columns and {r["doc_id"] for r in rows} == set(near_groups(docs).values())
+    assert all(r["gone"] == r["row"] == f"c{r['doc_id']}" and r["text"] == docs[r["doc_id"]] for r in rows)
+    assert neardup.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_on_a_real_table(spark):
+    """Links of all pairs are found: of whole documents, copies and near copies as they are in the tables."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    groups = {r["doc_id"]: r["group_id"] for r in neardup.op1_minhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    links = near_links(docs)
+    found = sum(groups[a] == groups[b] for a, b in links)
+    assert len(links) > 50 and found >= 0.99 * len(links)
+    assert groups.items() <= near_groups(docs).items() or found < len(links)
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short"), (4, "w " * 300_000)], "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_rows_grow_with_the_group_not_its_square(spark):
+    """Stars write a row for each spoke and part; blocks of a large class meet only the few blocks of others."""
+    for m in (1_000, 20_000):
+        pairs = spark.range(1, m).selectExpr("0L as hub", "id as node")
+        assert neardup._stars(pairs, 256).count() <= m - 1 + -(-m // 256)
+        rows = spark.range(m + 10).selectExpr("0L as canopy", "id as node", "case when id < " + str(m) + " then 0L else id end as class")
+        across = neardup._across(rows, "canopy", 128)
+        assert across.count() <= 3 * m
+    met = {(r["i"], r["j"]) for r in across.collect()}
+    own = {r["node"]: r["own"] for r in across.collect()}
+    assert all((min(own[a], own[b]), max(own[a], own[b])) in met for a in range(20_000, 20_010) for b in range(0, 20_010, 97) if a != b)
+
+
+def test_comparisons_across_classes_miss_no_link():
+    rng = np.random.default_rng(3)
+    sets = [neardup.shingles(" ".join(f"w{v}" for v in rng.integers(0, 3, 40))) for _ in range(20)]
+    sets += [sets[0], sets[5]]
+    classes = np.array([0, 0, 1, 1, *range(2, 20)])
+    for sides in (None, np.arange(22) % 2):
+        links = neardup.verified_links(sets, 0.5, classes, sides)
+        u = neardup._sides(22, classes, None)[0]
+        for i, j in links:
+            assert classes[i] != classes[j]
+            u.join(i, j)
+        for i in range(22):
+            for j in range(i + 1, 22):
+                common = len(np.intersect1d(sets[i][0], sets[j][0]))
+                alike = common / (len(sets[i][0]) + len(sets[j][0]) - common) >= 0.5 or neardup.probability_jaccard(*sets[i], *sets[j]) >= 0.5
+                if alike and (sides is None or sides[i] != sides[j]):
+                    assert u.find(i) == u.find(j)
+
+
+def test_scratch_is_deleted_and_a_shared_folder_demanded(spark):
+    from corpusloom.llm import shared
+
+    scratch = shared.Scratch(spark, "t")
+    scratch.put(spark.range(3), "a")
+    assert shared.exists(spark, scratch.folder)
+    scratch.drop()
+    assert not shared.exists(spark, scratch.folder)
+    assert shared.fresh("a", ["A", "a_"]) == "a__"
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k: None)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session)
 
 
 def test_plain_links_of_texts_that_repeat_a_line(spark):
@@ -154,6 +235,30 @@ def test_pipeline(spark, tmp_path):
         assert all(zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"] for p in parts)
 
 
+def test_pipeline_stages_with_nulls_clashes_and_no_rows(spark):
+    """Every stage but the last returns the columns it got, whatever they are called, and drops no unexamined row."""
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    good = " ".join(f"Alpha{i} beta{i} gamma{i} ends{i}." for i in range(30))
+    names = ["findings", "_found", "_blob", "blob", "found", "_gone", "row", "_findings", "quality"]
+    rows = [(1, good, "en", "s", 0), (None, good + " One more.", None, None, None), (3, None, "en", None, 4), (3, "", None, "s", None), (5, "token = abcdefgh12 " + good[::-1], "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], schema)
+    empty = docs.limit(0)
+    left = {"quality_rules": {1, None, 5}, "near_duplicates": {1, 3, 5}, "decontamination": {1, None, 3, 5}, "secret_scans": {1, None, 3, 5}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, source)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == left[name] and all(r[n] == "x" for r in got for n in names), name
+        none = stage(spark, empty, source)
+        assert none.columns == docs.columns and none.count() == 0, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, source).collect()
+    assert {r["doc_id"] for r in pieces} == {1, None, 3, 5} and len(pieces) == 5
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, source).count() == 0
+
+
 def test_registered_queries_run(spark):
     import duckdb
 
