@@ -51,16 +51,18 @@ def blob_id(text: Column) -> Column:
 
 
 class Ledger:
-    """``<root>/rules=<version>/scan=<n>/``: one folder for each committed scan, blob and its findings in rows."""
+    """``<root>/rules=<version>/scan-<n>/``: one folder for each scan, blob and its findings in rows.
+
+    A scan counts once Spark has marked its folder, so one that died half-way is scanned again.
+    """
 
     def __init__(self, spark, root: str, version: str = RULE_VERSION):
         self.spark, self.root = spark, f"{root.rstrip('/')}/rules={version}"
         self.schema = f"blob string, findings {FINDING}"
 
     def known(self) -> DataFrame:
-        if not shared.exists(self.spark, self.root):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/scan=*/")
+        scans = shared.committed(self.spark, self.root)
+        return self.spark.read.schema(self.schema).parquet(*scans) if scans else self.spark.createDataFrame([], self.schema)
 
     def scan(self, versions: DataFrame) -> None:
         """Scan the blobs of ``versions`` (column ``text``) that the ledger lacks under this rule version.
@@ -68,22 +70,32 @@ class Ledger:
         Copies meet before the shuffle, so a text with very many copies is one row of each task.
         """
         blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        if shared.exists(self.spark, self.root):
+        if shared.committed(self.spark, self.root):
             blobs = blobs.join(self.known().select("blob"), "blob", "left_anti")
         unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
         path = shared.new_path(self.spark, "scan").rpartition("-")[2]
-        unseen.select("blob", findings(F.col("text")).alias("findings")).write.parquet(f"{self.root}/scan={path}")
+        unseen.select("blob", findings(F.col("text")).alias("findings")).write.parquet(f"{self.root}/scan-{path}")
+
+
+def found_in(versions: DataFrame, ledger: Ledger) -> DataFrame:
+    """``versions`` with a column ``findings`` (replaced if there) from the ledger as it is.
+
+    Only blobs with findings are joined, under names that ``versions`` doesn't use.
+    """
+    blob, found = shared.fresh("blob", versions.columns), shared.fresh("found", versions.columns)
+    hits = ledger.known().filter(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(found))
+    keyed = versions.drop("findings").withColumn(blob, blob_id(F.col("text").cast("string")))
+    return keyed.join(hits, blob, "left").withColumn("findings", F.coalesce(found, F.array().cast(FINDING))).drop(blob, found)
 
 
 def scan_secrets(versions: DataFrame, ledger: Ledger) -> DataFrame:
     """``versions`` with a column ``findings`` (replaced if there), after scanning what the ledger lacks.
 
-    Null text is an empty blob; without findings the array is empty.  Rows with equal texts get equal findings.
+    Null text is an empty blob; without findings the array is empty.  Rows with equal texts get equal findings, whatever
+    their ids, and an empty table gives an empty result.
     """
     ledger.scan(versions.select(F.col("text").cast("string").alias("text")))
-    hits = ledger.known().filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    keyed = versions.drop("findings").withColumn("_blob", blob_id(F.col("text").cast("string")))
-    return keyed.join(hits, "_blob", "left").withColumn("findings", F.coalesce("_found", F.array().cast(FINDING))).drop("_blob", "_found")
+    return found_in(versions, ledger)
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -100,13 +112,17 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def redact_documents(docs: DataFrame, ledger: Ledger) -> DataFrame:
-    """``docs`` in their own columns, secrets replaced; ``n_chars``, if there, follows the text."""
+    """``docs`` in their own columns, secrets replaced; ``n_chars``, if there, follows the text.
+
+    Null texts stay null; repeated rows and ids are redacted alike; an empty table stays empty.
+    """
     names = docs.columns
-    out = scan_secrets(docs.select(*(F.col(f"`{n}`") for n in names)).withColumnRenamed("findings", "_findings"), ledger)
-    out = out.withColumn("text", redact(F.col("text"), F.col("findings"))).drop("findings").withColumnRenamed("_findings", "findings")
+    mine = shared.fresh("own_findings", names)
+    out = scan_secrets(docs.select(*(F.col(f"`{n}`").alias(mine if n.lower() == "findings" else n) for n in names)), ledger)
+    out = out.withColumn("text", redact(F.col("text"), F.col("findings")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{n}`") for n in names))
+    return out.select(*(F.col(f"`{mine}`").alias(n) if n.lower() == "findings" else F.col(f"`{n}`") for n in names))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -116,5 +132,8 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def op4_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """All documents, in two arrivals: the second scan is given every document and finds what the first has seen."""
     docs = shared.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return summary(scan_secrets(docs, Ledger(spark, shared.new_path(spark, "ledger"))))
+    ledger = Ledger(spark, shared.new_path(spark, "ledger"))
+    ledger.scan(docs.filter(F.isnotnull("doc_id") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) < 1 << 31)).select("text"))
+    return summary(scan_secrets(docs, ledger))
