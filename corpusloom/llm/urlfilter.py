@@ -1,6 +1,7 @@
-"""URL filters: host and path rules, then a Bloom filter cascade over the corpus's hosts, by SQL functions only.
+"""URL filters: host and path rules, then a Bloom filter cascade over the corpus's pages, by SQL functions only.
 
-The complete key universe (every distinct host) is known, so a cascade is exact: level 1 holds the listed keys, level 2
+A page's key is its host and path.  The complete key universe (every distinct key of the pages) is known, so a cascade
+is exact for a given list of keys: level 1 holds the listed keys, level 2
 the unlisted keys that level 1 lets through, level 3 the listed keys that level 2 lets through, and so on until nothing
 is let through.  A key is listed if the number of levels that accept it in a row is odd.  Pages are then judged in one
 scan without a join or a shuffle.
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Fixed values: (verdict, host, path) rules, and labels that put a host on the block list.
+# Fixed values: (verdict, host, path) rules, and words of host names that put a page on the query's block list.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-BLOCKED_LABELS = ("casino-win", "free-bets", "spam-farm", "cheap-pills", "adult-cams", "fast-loans")
+BLOCKED_WORDS = ("adult", "ads", "bet", "bets", "cams", "casino", "gambling", "loans", "pills", "poker", "porn", "spam", "viagra", "xxx")
 
 
 def host_of(url: Column) -> Column:
@@ -102,39 +103,50 @@ def member(key: Column, levels: list[Level]) -> Column:
     return listed
 
 
-def listed_flag(rows: DataFrame, key: str, universe: DataFrame) -> DataFrame:
-    """``rows`` with a boolean column ``listed``."""
-    levels = build_cascade(universe)
+def listed_flag(rows: DataFrame, key: str, universe: DataFrame, max_bits: int = 1 << 25) -> DataFrame:
+    """``rows`` with a boolean column ``listed`` (replaced if there), by the cascade, beyond its bound by a join."""
+    levels = build_cascade(universe, max_bits=max_bits)
     if levels is not None:
         return rows.withColumn("listed", member(F.col(key), levels))
-    listed = universe.filter("listed").select(F.col("key").alias("_listed_key"))
-    return rows.join(listed, F.col(key) == F.col("_listed_key"), "left").withColumn("listed", F.col("_listed_key").isNotNull()).drop("_listed_key")
+    own = shared.fresh("listed_key", rows.columns)
+    listed = universe.filter("listed").select(F.col("key").alias(own))
+    return rows.drop("listed").join(listed, F.col(key) == F.col(own), "left").withColumn("listed", F.col(own).isNotNull()).drop(own)
 
 
-def on_list(host: Column, labels=BLOCKED_LABELS) -> Column:
-    """The list: hosts one of whose labels is blocked."""
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*(F.lit(x) for x in labels))) if labels else F.lit(False)
+def blocked_hosts(host: Column, words=BLOCKED_WORDS) -> Column:
+    """Whether a host name has a blocked word between its dots and hyphens."""
+    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*(F.lit(x) for x in words))) if words else F.lit(False)
 
 
-def judge(pages: DataFrame, rules=RULES, labels=BLOCKED_LABELS) -> DataFrame:
-    """page_id, host, path, rule, verdict.  A page without host fits no rule and is on no list: allowed.
+def block_list(pages: DataFrame, words=BLOCKED_WORDS) -> DataFrame:
+    """A list of keys for want of a given one: the distinct host and path of pages on hosts with a blocked word."""
+    url = F.col("url").cast("string")
+    return pages.select(host_of(url).alias("host"), path_of(url).alias("path")).filter(blocked_hosts(F.col("host"), words)).select(F.concat("host", "path").alias("key")).distinct()
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bits: int = 1 << 25) -> DataFrame:
+    """page_id, host, path, rule, verdict.  ``listed``: the block list, one column ``key`` (host and path); nulls and
+    repeats in it don't matter, nor do keys of no page.
 
-    Rows are judged one by one, so repeated urls get equal verdicts; an empty table gives an empty result.
+    Pages that no rule fits are blocked if their key is listed.  A page without host fits no rule and has an empty key,
+    which is on no list: allowed.  Rows are judged one by one, so repeated urls get equal verdicts; an empty table gives
+    an empty result.
     """
     url = F.col("url").cast("string")
-    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    hosts = seen.select(F.col("host").alias("key")).distinct()
-    universe = shared.materialise(hosts.withColumn("listed", on_list(F.col("key"), labels)), "hosts")
-    flagged = listed_flag(seen, "host", universe)
+    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("key", F.concat("host", "path"))
+    keys = listed.select(F.col("key").cast("string").alias("key")).filter("key <> ''").distinct().withColumn("listed", F.lit(True))
+    universe = shared.materialise(seen.select("key").distinct().join(keys, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "url-keys")
+    flagged = listed_flag(seen, "key", universe, max_bits)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return flagged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
-    return judge(shared.read(spark, sf_dir, "pages").select("page_id", "url"))
+    pages = shared.read(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, shared.materialise(block_list(pages), "block-list"))
 
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -146,7 +158,7 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'spam-farm', 'cheap-pills', 'adult-cams', 'fast-loans']) THEN 'block'
+    WHEN list_has_any(string_split(replace(host, '-', '.'), '.'), [{", ".join(f"'{w}'" for w in BLOCKED_WORDS)}]) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
