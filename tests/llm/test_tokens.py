@@ -1,5 +1,6 @@
 """Encoder, packing, bit packing, token counts."""
 
+import io
 import random
 import zlib
 
@@ -61,14 +62,34 @@ def test_bit_packing_round_trip(bits):
         for a, b in ((0, 1), (100, 300), (n - 1, n + 5), (5, 5)):
             assert (bitpack.unpack(shard, a, b) == ids[max(0, a) : b]).all()
         assert len(shard) <= bitpack.HEADER.size + 8 * (n // 128 + 1) + bits * (n + 64) / 8
+        reader = bitpack.Reader(io.BytesIO(bitpack.pack(ids, bits, 128, [5, -7], [n // 3, n - n // 3])))
+        doc_ids, ends = reader.documents()
+        assert doc_ids.tolist() == [5, -7] and ends.tolist() == [n // 3, n] and (reader.ids(n // 3, n) == ids[n // 3 :]).all()
     with pytest.raises(ValueError):
         bitpack.pack(np.array([1 << bits], np.uint64), bits)
 
 
+def test_random_access_reads_only_the_blocks_asked_for():
+    class Counted(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.total += len(out)
+            return out
+
+    ids = np.arange(1 << 20) % 50_000
+    file = Counted(bitpack.pack(ids.astype(np.uint64), 16, 4096))
+    assert (bitpack.Reader(file).ids(700_000, 700_010) == ids[700_000:700_010]).all() and file.total < 3 * 4096 * 2
+
+
 def test_files_round_trip(spark, docs):
     path = shared.new_path(spark, "t")
-    shards = bitpack.write_ids(docs, path, public_path("byte_bpe_50k.json"), 0, shard_ids=500, partition_rows=4)
-    got = sorted(map(tuple, bitpack.read_documents(shards).collect()), key=lambda r: r[1])
+    manifest = bitpack.write_ids(docs, path, public_path("byte_bpe_50k.json"), 0, file_ids=500, partition_bytes=300)
+    place, folder = bitpack.store(path)
+    with place.open_output_stream(f"{folder}/00000000-000000-left-by-a-lost-attempt.clbp") as out:
+        out.write(b"half")
+    got = sorted(map(tuple, bitpack.read_documents(manifest, path).collect()), key=lambda r: r[1])
     want, start = [], 0
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: r[0])
     for doc_id, text in rows:
@@ -78,13 +99,20 @@ def test_files_round_trip(spark, docs):
     for r in got:
         assert r[1] == start
         start += r[2]
+    again = shared.new_path(spark, "t")
+    once_more = bitpack.read_documents(bitpack.write_ids(docs.repartition(2), again, public_path("byte_bpe_50k.json"), 0, partition_bytes=300), again)
+    assert sorted(map(tuple, once_more.collect()), key=lambda r: r[1]) == got
 
 
 def test_null_ids_and_empty_table(spark):
     one = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
-    got = bitpack.read_documents(bitpack.write_ids(one, shared.new_path(spark, "t"), public_path("byte_bpe_50k.json"))).collect()
-    assert sorted((r["doc_id"] is None, r["start"]) for r in got) == [(False, 2), (True, 0)]
-    assert bitpack.read_documents(bitpack.write_ids(one.limit(0), shared.new_path(spark, "t"), public_path("byte_bpe_50k.json"))).count() == 0
+
+    def through(df):
+        path = shared.new_path(spark, "t")
+        return bitpack.read_documents(bitpack.write_ids(df, path, public_path("byte_bpe_50k.json")), path)
+
+    assert sorted((r["doc_id"] is None, r["start"]) for r in through(one).collect()) == [(False, 2), (True, 0)]
+    assert through(one.limit(0)).count() == 0
     assert packing.pack_documents(one.limit(0), public_path("word_bpe_49k.json")).count() == 0
 
 
@@ -142,12 +170,47 @@ def test_rollup(spark, docs):
     want = {}
     for r in docs.collect():
         k = "en" if r["doc_id"] % 2 == 0 else None
-        n, t = want.get(k, (0, 0))
-        want[k] = (n + 1, t + len(plain_ids("byte_bpe_50k.json", r["text"], 0)) - 1)
-    assert {r["lang"]: (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()} == want
+        n, t, c = want.get(k, (0, 0, 0))
+        want[k] = (n + 1, t + len(plain_ids("byte_bpe_50k.json", r["text"], 0)) - 1, c + len(r["text"] or ""))
+
+    def totals():
+        return {r["lang"]: (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in rollup.totals().collect()}
+
+    assert totals() == want
     revision = spark.createDataFrame([("s", "en", "same text", -1), ("s", "en", "same text, revised", 1)], "source string, lang string, text string, sign int")
-    rollup.commit("b2", revision)
+    rollup.commit("2024-01-01T00:00:00 /*?", revision)
     more = len(plain_ids("byte_bpe_50k.json", "same text, revised", 0)) - len(plain_ids("byte_bpe_50k.json", "same text", 0))
-    assert {r["lang"]: (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}["en"] == (want["en"][0], want["en"][1] + more)
+    assert totals()["en"] == (want["en"][0], want["en"][1] + more, want["en"][2] + 9)
     rollup.commit("b3", rows.withColumn("sign", F.lit(-1)))
     assert [r["n_docs"] for r in rollup.totals().collect()] == [0]
+
+
+def test_batches_without_a_marker_and_folds(spark, docs):
+    rollup = counts.Rollup(spark, shared.new_path(spark, "r"), {"b": public_path("byte_bpe_50k.json"), "w": public_path("word_bpe_49k.json")})
+    rows = docs.select(F.lit("s").alias("source"), F.lit("en").alias("lang"), "text", F.lit(1).alias("sign"), F.lit("x").alias("counts"))
+    rollup.commit("a", rows)
+    before = sorted(map(tuple, rollup.totals().collect()))
+    assert {r[2] for r in before} == {"b", "w"} and all(r[3] == docs.count() for r in before)
+    rollup.commit("half", rows)
+    fs, marker = shared._store(spark, f"{rollup.root}/batches/{rollup._name('half')}/_SUCCESS")
+    fs.delete(marker, True)
+    assert not rollup.committed("half") and sorted(map(tuple, rollup.totals().collect())) == before
+    rollup.compact()
+    fs, folder = shared._store(spark, f"{rollup.root}/batches")
+    fs.delete(folder, True)
+    assert sorted(map(tuple, rollup.totals().collect())) == before and rollup.committed("a") and not rollup.commit("a", rows)
+    assert rollup.commit("half", rows) and rollup.commit("gone", rows.withColumn("sign", F.lit(-1)))
+    rollup.compact()
+    rollup.compact()
+    assert sorted(map(tuple, rollup.totals().collect())) == before and not rollup.commit("gone", rows)
+
+
+def test_token_totals_of_the_query(spark):
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in counts.op5_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        for name in ("byte_bpe_50k", "word_bpe_49k"):
+            k = (r["source"], r["lang"], name)
+            n, t, c = want.get(k, (0, 0, 0))
+            want[k] = (n + 1, t + len(plain_ids(f"{name}.json", r["text"], 0)) - 1, c + len(r["text"] or ""))
+    assert got == want
