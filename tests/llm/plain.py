@@ -76,6 +76,29 @@ def contamination(text, items, window=13):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
+def maximal_matches(text, items, window=13):
+    """(item, start in it, start in the text, words) of matches of a window or more that can't be extended."""
+    words, out = bench_words(text or ""), []
+    for item_id, item in items:
+        iw = bench_words(item or "")
+        n = min(window, len(iw))
+        for a in range(len(iw)):
+            for b in range(len(words)):
+                if iw[a] == words[b] and not (a and b and iw[a - 1] == words[b - 1]):
+                    k = 0
+                    while a + k < len(iw) and b + k < len(words) and iw[a + k] == words[b + k]:
+                        k += 1
+                    if k >= n:
+                        out.append((item_id, a, b, k))
+    return out
+
+
+def longest_match(text, items, window=13):
+    """(words, start in the text, item): of equally long ones the first, then of the least id."""
+    best = min(((-n, b, str(k)) for k, _, b, n in maximal_matches(text, items, window)), default=(0, None, None))
+    return -best[0], best[1], best[2]
+
+
 def shingle_counts(text):
     words = (text or "").lower().split()
     n = min(5, len(words))

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from plain import PII, SECRETS, contamination, digest, quality, spans
+from plain import PII, SECRETS, contamination, digest, longest_match, maximal_matches, quality, spans
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, langid, pii, secrets, shared, urlfilter
@@ -193,15 +193,51 @@ def test_contamination(spark):
         texts.append(rng.choice([" ", ", ", "\n"]).join(parts).upper() if rng.random() < 0.3 else " ".join(parts))
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for shard_words in (50, 100_000):
-        out = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench, shard_words=shard_words).collect()}
-        assert out == {i: contamination(t, items) for i, t in enumerate(texts)}
+    for shard_words, bench_words in ((50, 1), (100_000, 20), (100_000, 100_000)):
+        out = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench, shard_words=shard_words, bench_words=bench_words).collect()}
+        assert {i: r[:5] for i, r in out.items()} == {i: contamination(t, items) for i, t in enumerate(texts)}
+        assert {i: r[5:] for i, r in out.items()} == {i: longest_match(t, items) for i, t in enumerate(texts)}
+        found = {tuple(r) for r in decontaminate.matches(docs, bench, shard_words=shard_words, bench_words=bench_words).collect()}
+        assert found == {(str(k), a, i, b, n) for i, t in enumerate(texts) for k, a, b, n in maximal_matches(t, items)}
+    assert len(decontaminate.write_benchmark(bench, bench_words=1)) == 5
     kept = {r["doc_id"] for r in decontaminate.remove_contaminated(docs, bench).collect()}
-    assert kept == {i for i in out if not out[i][-1]}
+    assert kept == {i for i in out if not out[i][4]}
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.load_benchmark(bench, max_chars=10)
+
+
+def test_contamination_of_a_very_long_text(spark):
+    words = [f"w{i % 5000}" for i in range(300_000)]
+    item = " ".join(words[:400])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, "x")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in decontaminate.contamination(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()}
+    assert (out[1]["n_hit"], out[1]["longest_words"], out[1]["longest_start"]) == (400 * 60, 400, 0) == (out[2]["n_hit"], out[2]["longest_words"], out[2]["longest_start"])
+    assert out[1]["contaminated"] and out[3]["n_hit"] == 0
+
+
+def test_suffix_array_sorts_whole_suffixes():
+    rng = np.random.default_rng(1)
+    for top in (1, 2, 9, 100_000):
+        ids = rng.integers(0, top + 1, 400)
+        ids[200:300] = ids[:100]
+        ids[-1] = 0
+        order = decontaminate.suffix_array(ids)
+        suffix = lambda i: ids[i : i + int(np.argmax(ids[i:] == 0))].tolist()
+        assert sorted(order.tolist()) == np.flatnonzero(ids).tolist()
+        assert all(suffix(a) <= suffix(b) for a, b in zip(order, order[1:]))
+
+
+def test_longest_match_of_every_benchmark_suffix():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(4)]
+    text = " ".join(rng.choices(words, k=300))
+    item = " ".join(rng.choices(words, k=40))
+    bench = decontaminate.Benchmark([("a", item)], 3)
+    got = decontaminate.Shard([text, None, text], bench).longest(bench)
+    t, w = text.split(), item.split()
+    for q in range(len(w)):
+        want = max(next((n for n in range(len(w) - q, 0, -1) if w[q : q + n] == t[p : p + n]), 0) for p in range(len(t)))
+        assert got[q] == want
 
 
 def test_longest_matches(spark):
@@ -270,7 +306,8 @@ def test_benchmark_items_without_an_id_hit_as_in_sql(spark):
     for name, rows, kind in (("documents", docs, "doc_id BIGINT, text VARCHAR"), ("benchmark", items, "item_id VARCHAR, text VARCHAR")):
         con.sql(f"create table {name} ({kind})")
         con.executemany(f"insert into {name} values (?, ?)", rows)
-    got = sorted(map(tuple, decontaminate.contamination(df, bench).collect()))
-    assert got == sorted(con.sql(decontaminate.OP7_SQL).fetchall()) and [r[3] for r in got] == [2, 1, 0, 0]
+    for bench_words in (1, 1000):
+        got = sorted(map(tuple, decontaminate.contamination(df, bench, bench_words=bench_words).collect()))
+        assert got == sorted(con.sql(decontaminate.OP7_SQL).fetchall()) and [r[3] for r in got] == [2, 1, 0, 0]
     assert {r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()} == {3, 4}
     assert {(r["item_id"], r["n_words"]) for r in decontaminate.matches(df, bench).filter("doc_id = 1").collect()} == {(None, 15), (None, 16), ("b", 14)}
