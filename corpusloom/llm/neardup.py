@@ -268,12 +268,19 @@ def _runs(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(pdf))
 
 
+def _salted(rows: DataFrame, few: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
+    """``rows`` (with ``node``) joined with ``few`` on ``on``: rows of one key go to ``salts`` tasks, ``few`` to each."""
+    wide = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(salts)).cast("int")).join(wide, [*on, "salt"], how).drop("salt")
+
+
 def _stars(pairs: DataFrame, most: int) -> DataFrame:
     """``pairs``: ``hub``, ``node``.  -> ``hub``, ``part``, ``node``, ``side``: spokes (1) in parts of about ``most``, and
     the hub (0) in each part.
     """
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    spokes = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", F.lit(1).alias("side"))
+    parts = F.coalesce("parts", F.lit(1))
+    spokes = _salted(pairs, sizes.filter("parts > 1"), ["hub"], "left").select("hub", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", F.lit(1).alias("side"))
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(0).alias("side"))
     return spokes.unionByName(hubs)
 
@@ -292,7 +299,8 @@ def _across(rows: DataFrame, key: str, block: int) -> DataFrame:
     ceiling = F.ceil(F.coalesce(F.sum(F.when(F.col("n") <= block, F.col("n"))), F.lit(0)) / block).cast("long")
     of_large = F.coalesce(F.sum(F.when(F.col("n") > block, F.ceil(F.col("n") / block))), F.lit(0)).cast("long")
     keys = sizes.groupBy(key).agg(ceiling.alias("mixed"), (ceiling + of_large).alias("all"))
-    placed = rows.join(keys, key).join(large, [key, "class"], "left")
+    placed = _salted(_salted(rows, keys.filter(F.col("all") > 1), [key], "left"), large, [key, "class"], "left")
+    placed = placed.withColumn("mixed", F.coalesce("mixed", F.lit(1).cast("long"))).withColumn("all", F.coalesce("all", F.lit(1).cast("long")))
     mine = F.col("mixed") + F.col("first")
     own = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("node"), "mixed")).otherwise(mine + F.pmod(F.xxhash64("node"), "blocks"))
     meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: F.col("blocks").isNull() | (o < mine) | (o >= mine + F.col("blocks")))
@@ -370,7 +378,7 @@ def _classed(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     """``rows`` (``key``, ``node``) with ``class``, the root of the node or itself, of keys with several classes."""
     classed = rows.join(roots, "node", "left").select(key, "node", F.coalesce("root", "node").alias("class"))
     mixed = classed.groupBy(key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(key)
-    return classed.join(mixed, key)
+    return _salted(classed, mixed, [key], "left_semi")
 
 
 def _united(roots: DataFrame, links: DataFrame, scratch) -> DataFrame:
