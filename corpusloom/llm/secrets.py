@@ -70,9 +70,9 @@ class Ledger:
         Copies meet before the shuffle, so a text with very many copies is one row of each task.
         """
         blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        if shared.committed(self.spark, self.root):
-            blobs = blobs.join(self.known().select("blob"), "blob", "left_anti")
         unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+        if shared.committed(self.spark, self.root):
+            unseen = unseen.join(self.known().select("blob"), "blob", "left_anti")
         path = shared.new_path(self.spark, "scan").rpartition("-")[2]
         unseen.select("blob", findings(F.col("text")).alias("findings")).write.parquet(f"{self.root}/scan-{path}")
 
