@@ -29,9 +29,18 @@ def quoted(phrase: Column) -> Column:
     return F.regexp_replace(phrase, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
+def _bounded(phrase: Column) -> Column:
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted(phrase), F.lit(r"(?![\p{L}\p{N}])"))
+
+
 def whole_phrase(text: Column, phrase: Column) -> Column:
     """Whether ``phrase`` stands in ``text`` with no letter or digit at either side."""
-    return F.rlike(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted(phrase), F.lit(r"(?![\p{L}\p{N}])")))
+    return F.rlike(text, _bounded(phrase))
+
+
+def phrase_place(text: Column, phrase: Column) -> Column:
+    """Where ``phrase`` first stands whole in ``text``, from 1; 0 if nowhere."""
+    return F.regexp_instr(text, _bounded(phrase))
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -120,3 +129,10 @@ def http_status(code: Column, error: Column) -> Column:
 def cost(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column, rates: tuple[float, float, float, float]) -> Column:
     """US dollars by rates per million tokens."""
     return (tokens_in * rates[0] + tokens_out * rates[1] + cache_read * rates[2] + cache_write * rates[3]) / F.lit(1e6)
+
+
+def score_class(score: Column) -> Column:
+    """Nine classes of a score that is a multiple of a half and at least -1."""
+    at = lambda v, name: (score == v, name)
+    cases = [at(-1, "-1"), at(-0.5, "-0.5"), at(0, "0"), at(0.5, "0.5"), at(1, "1"), ((score > 1) & (score <= 2), "1 to 2"), ((score > 2) & (score <= 5), "2 to 5"), ((score > 5) & (score <= 10), "5 to 10")]
+    return reduce(lambda out, c: F.when(*c) if out is None else out.when(*c), cases, None).otherwise("10+")

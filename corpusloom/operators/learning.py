@@ -46,9 +46,14 @@ def train(df: DataFrame, array_col: str, name: str = "logistic", seed: int = 42)
     return Pipeline(stages=[scaler, estimators(seed)[name]]).fit(balanced(vectors(df, array_col), "label"))
 
 
-def score(df: DataFrame, model: PipelineModel, array_col: str) -> DataFrame:
-    """``df`` with ``pred_proba``."""
-    return model.transform(vectors(df, array_col)).withColumn("pred_proba", vector_to_array("probability")[1]).select(*df.columns, "pred_proba")
+def score(df: DataFrame, model: PipelineModel, array_col: str, platt: tuple[float, float] = (-1.0, 0.0)) -> DataFrame:
+    """``df`` with ``pred_proba``; margins of a model without probabilities become some by Platt's sigmoid (see ``platt_fit``)."""
+    out = model.transform(vectors(df, array_col))
+    if "probability" in out.columns:
+        p = vector_to_array("probability")[1]
+    else:
+        p = 1 / (1 + F.exp(F.lit(platt[0]) * vector_to_array("rawPrediction")[1] + F.lit(platt[1])))
+    return out.withColumn("pred_proba", p).select(*df.columns, "pred_proba")
 
 
 def svm_scores(df: DataFrame, key: str, array_col: str, support: np.ndarray, dual: np.ndarray, intercept: float, gamma: float, platt: tuple[float, float]) -> DataFrame:
@@ -125,9 +130,11 @@ def top_uncertain(df: DataFrame, key: str, n: int, invalid_rate: float, by: str
 
 
 def top_by_side(df: DataFrame, key: str, n: int, positive_share: float, by: str = "entropy", p: str = "pred_proba") -> DataFrame:
-    """Top rows of each predicted side; a shortage of positives is filled with further negatives."""
+    """Top rows of each predicted side; a shortage of positives is filled with further negatives.
+
+    Each side is a top-k of its own, so tasks keep at most ``n`` rows.
+    """
     sides = df.withColumn("predicted", (F.col(p) >= 0.5).cast("int"))
-    want = int(n * positive_share)
-    got = min(want, sides.filter("predicted = 1").count())
-    w = Window.partitionBy("predicted").orderBy(F.desc(by), key)
-    return sides.withColumn("_rank", F.row_number().over(w)).filter((F.col("_rank") <= F.when(F.col("predicted") == 1, got).otherwise(n - got)) & (F.col("_rank") <= n)).drop("_rank")
+    got = min(int(n * positive_share), sides.filter("predicted = 1").count())
+    top = lambda side, k: sides.filter(F.col("predicted") == side).orderBy(F.desc(by), key).limit(k)
+    return top(1, got).unionByName(top(0, n - got))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,30 +25,55 @@ def cap_per_key(df: DataFrame, key: list[str], order: list[Column], most: int) -
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most).drop("_rank")
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], buckets: int = 200, descending: bool = False, tie: str | None = None) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, str], buckets: int = 200, descending: bool = False, tie: str | None = None, group: str | None = None) -> DataFrame:
     """Running totals over a whole table, in the order of a numeric column and then ``tie``, without one task for all rows.
 
     Cut points split the order into buckets; totals run within each bucket, and the few bucket totals run over
-    all.  Rows of equal order and tie share their total.  Nulls in ``order`` are left out.
+    all.  Rows of equal order and tie share their total.  Nulls in ``order`` are left out.  ``group``: totals start anew
+    for each of its values.
     """
-    rows = df.filter(F.col(order).isNotNull())
+    rows, own = df.filter(F.col(order).isNotNull()), [group] if group else []
     cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     edges = sorted(set(map(float, cuts)))
     edge = F.array(*(F.lit(e) for e in edges)) if edges else F.array().cast("array<double>")
     bucket = F.size(F.filter(edge, lambda e: e < F.col(order)))
     placed = rows.withColumn("_bucket", -bucket if descending else bucket)
-    totals = placed.groupBy("_bucket").agg(*(F.sum(c).alias(f"_all_{n}") for n, c in sums.items()))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *(F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    totals = placed.groupBy(*own, "_bucket").agg(*(F.sum(c).alias(f"_all_{n}") for n, c in sums.items()))
+    before = Window.partitionBy(*own).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*own, "_bucket", *(F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
     by = [F.col(c).desc() if descending and c == order else F.col(c) for c in ([order] if tie is None else [order, tie])]
-    own = Window.partitionBy("_bucket").orderBy(*by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.join(F.broadcast(offsets), "_bucket")  # at most ``buckets`` rows
-    return out.select(*df.columns, *((F.sum(c).over(own) + F.col(f"_before_{n}")).alias(n) for n, c in sums.items()))
+    inside = Window.partitionBy(*own, "_bucket").orderBy(*by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Without groups there are at most ``buckets`` offsets.
+    out = placed.join(F.broadcast(offsets), "_bucket") if group is None else placed.join(offsets.withColumnRenamed(group, "_group"), (placed[group].eqNullSafe(F.col("_group"))) & (placed["_bucket"] == offsets["_bucket"])).drop(offsets["_bucket"], "_group")
+    return out.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_before_{n}")).alias(n) for n, c in sums.items()))
 
 
-def insert_ignore(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose key is neither in ``state`` nor earlier among themselves."""
-    return rows.dropDuplicates([key]).join(state.select(key), key, "left_anti")
+def exact_quantiles(df: DataFrame, value: str, levels: list[float], group: str | None = None) -> DataFrame:
+    """``group`` (if given), ``n`` and ``q0``, ``q1``, ... of the levels, by linear interpolation between neighbours.
+
+    Rows become counts of distinct values, and these running totals over buckets; no task holds all values.  Nulls are
+    left out; without a value the result is null, or has no row for the group.
+    """
+    own = [group] if group else []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*own, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running(counts, "_v", {"_upto": "_n"}, group=group)
+    sizes = counts.groupBy(*own).agg(F.sum("_n").alias("n")).filter("n > 0")
+    placed = upto.join(F.broadcast(sizes.withColumnRenamed(group, "_g")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g") if group else upto.crossJoin(sizes)  # one row, or one for each group
+    at = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    reach = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    picked = placed.groupBy(*own, "n").agg(*(reach(F.floor(at(q))).alias(f"_a{i}") for i, q in enumerate(levels)), *(reach(F.ceil(at(q))).alias(f"_b{i}") for i, q in enumerate(levels)))
+    return picked.select(*own, "n", *((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (at(q) - F.floor(at(q)))).alias(f"q{i}") for i, q in enumerate(levels)))
+
+
+def insert_ignore(state: DataFrame, rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``rows`` whose key is neither in ``state`` nor earlier, in ``order``, among themselves.  Null keys are left out."""
+    return keep_first(rows.filter(F.col(key).isNotNull()), [key], order).join(state.select(key), key, "left_anti").select(*rows.columns)
+
+
+def insert_counts(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One row: ``inserted`` keys that ``state`` lacks, ``skipped`` rows."""
+    new = rows.filter(F.col(key).isNotNull()).select(key).distinct().join(state.select(key), key, "left_anti").agg(F.count("*").alias("inserted"))
+    return rows.agg(F.count("*").alias("_all")).crossJoin(new).select("inserted", (F.col("_all") - F.col("inserted")).alias("skipped"))  # one row each
 
 
 def latest(attempts: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -74,27 +100,45 @@ def duplicate_groups(df: DataFrame, content: Column, key: str) -> DataFrame:
 
 
 def keepers(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """``df`` with ``is_duplicate``: true for all but the first row in ``order`` of each group, false without group."""
+    """``df`` with ``is_duplicate``: true for all but the first row in ``order`` of each group, false without group.
+
+    Rows without group don't enter the window, where they would be one partition.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("is_duplicate", F.col(group).isNotNull() & (F.row_number().over(w) > 1))
+    grouped = df.filter(F.col(group).isNotNull()).withColumn("is_duplicate", F.row_number().over(w) > 1)
+    return grouped.unionByName(df.filter(F.col(group).isNull()).withColumn("is_duplicate", F.lit(False)))
 
 
-def match_phrases(docs: DataFrame, key: str, text: str, dictionary: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
-    """(key, phrase, weight) for every phrase of ``dictionary`` that stands whole in a text, once each.
+def match_phrases(docs: DataFrame, key: str, text: str, dictionary: DataFrame, most_inline: int = 64, most_broadcast: int = 200_000) -> DataFrame:
+    """(key, phrase, weight, end) for every phrase of ``dictionary`` that stands whole in a text, once each.
 
-    A phrase's first run of letters and digits must be a word of the text, so the join is on that word; only words that
-    start a phrase are exploded if the dictionary is small.  Phrases without letter or digit are left out.
+    ``end``: the place after its first whole occurrence.  Up to ``most_inline`` phrases are fixed patterns tested in the
+    row.  Beyond, a phrase's first run of letters and digits must be a word of the text, so the join is on that word, with
+    the dictionary sent to all tasks if it has at most ``most_broadcast`` phrases; a larger one is joined with words and
+    keys alone, and each text is fetched once for its candidates.  Phrases without letter or digit are left out.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("None")))
-    words = F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+"))
     phrases = dictionary.select(F.lower("phrase").alias("phrase"), "weight").withColumn("_word", F.regexp_extract("phrase", r"([\p{L}\p{N}]+)", 1)).filter("_word <> ''")
-    n = phrases.count()
-    if n <= most_broadcast:
+    few = phrases.limit(most_broadcast + 1).count()
+    place = lambda t, p: S.phrase_place(t, p)
+    if few <= most_inline:
+        given = [(r["phrase"], r["weight"]) for r in phrases.orderBy("phrase").collect()]
+        seen = docs.select(key, low.alias("_low"))
+        kind = phrases.schema["weight"].dataType
+        each = [F.struct(F.lit(p).alias("phrase"), F.lit(w).cast(kind).alias("weight"), F.when(F.col("_low").contains(p), place(F.col("_low"), F.lit(p))).otherwise(0).alias("at")) for p, w in given]
+        none = F.array().cast(f"array<struct<phrase:string,weight:{kind.simpleString()},at:int>>")
+        found = seen.select(key, F.inline(F.filter(F.array(*each) if each else none, lambda x: x["at"] > 0)))
+        return found.select(key, "phrase", "weight", (F.col("at") - 1 + F.length("phrase")).alias("end"))
+    words = F.array_distinct(F.split(low, r"[^\p{L}\p{N}]+"))
+    if few <= most_broadcast:
         firsts = sorted(r[0] for r in phrases.select("_word").distinct().collect())
         words = F.array_intersect(words, F.split(F.lit("\n".join(firsts)), "\n"))
-        phrases = F.broadcast(phrases)
-    found = docs.select(key, low.alias("_low"), F.explode(words).alias("_word")).join(phrases, "_word")
-    return found.filter(S.whole_phrase(F.col("_low"), F.col("phrase"))).select(key, "phrase", "weight")
+        found = docs.select(key, low.alias("_low"), F.explode(words).alias("_word")).join(F.broadcast(phrases), "_word")
+    else:
+        named = docs.select(key, F.explode(words).alias("_word")).join(phrases, "_word").groupBy(key).agg(F.collect_list(F.struct("phrase", "weight")).alias("_all"))
+        found = docs.select(key, low.alias("_low")).join(named, key).select(key, "_low", F.inline("_all"))
+    placed = found.filter(F.contains("_low", "phrase")).withColumn("_at", place(F.col("_low"), F.col("phrase"))).filter("_at > 0")
+    return placed.select(key, "phrase", "weight", (F.col("_at") - 1 + F.length("phrase")).alias("end"))
 
 
 def merge_dictionaries(positive: DataFrame, negative: DataFrame) -> DataFrame:
@@ -103,16 +147,15 @@ def merge_dictionaries(positive: DataFrame, negative: DataFrame) -> DataFrame:
 
 
 def allocate(df: DataFrame, key: str, p: str, target: int, strata: list[tuple[float, float, float]], seed: int) -> DataFrame:
-    """``int(target * fraction)`` rows of each stratum [lo, hi), in seeded order; shortfalls stay."""
-    label, quota = None, None
+    """``int(target * fraction)`` rows of each stratum [lo, hi), in seeded order; shortfalls stay.
+
+    Each stratum is a top-k of its own: tasks keep its first rows only, and no stratum meets in one task.
+    """
+    parts = []
     for lo, hi, fraction in strata:
-        inside = (F.col(p) >= lo) & (F.col(p) < hi)
-        name, n = F.lit(f"{lo:.2f}-{hi:.2f}"), F.lit(int(target * fraction))
-        label = F.when(inside, name) if label is None else label.when(inside, name)
-        quota = F.when(inside, n) if quota is None else quota.when(inside, n)
-    rows = df.withColumn("stratum", label).withColumn("_quota", quota).filter("stratum is not null")
-    w = Window.partitionBy("stratum").orderBy(S.seeded(seed, F.col(key)), key)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank <= _quota").drop("_rank", "_quota")
+        inside = df.filter((F.col(p) >= lo) & (F.col(p) < hi)).withColumn("stratum", F.lit(f"{lo:.2f}-{hi:.2f}"))
+        parts.append(inside.orderBy(S.seeded(seed, F.col(key)), key).limit(int(target * fraction)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
@@ -124,17 +167,6 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: in
     return df.withColumn("is_test", draw < share)
 
 
-def near_hashes(df: DataFrame, key: str, hash_col: str, most_bits: int = 2) -> DataFrame:
-    """Pairs of 16-digit hex hashes within ``most_bits`` bits (at most 3): one of four 16-bit pieces must be equal."""
-    if not 0 <= most_bits <= 3:
-        raise ValueError("four pieces find at most 3 differing bits")
-    pieces = F.posexplode(F.array(*(F.substring(hash_col, 1 + 4 * i, 4) for i in range(4)))).alias("_at", "_piece")
-    rows = df.filter(F.length(hash_col) == 16).select(F.col(key), F.col(hash_col), pieces)
-    a, b = rows.select(F.col(key).alias("a"), F.col(hash_col).alias("_ha"), "_at", "_piece"), rows.select(F.col(key).alias("b"), F.col(hash_col).alias("_hb"), "_at", "_piece")
-    bits = S.hex_distance(F.col("_ha"), F.col("_hb"))
-    return a.join(b, ["_at", "_piece"]).filter("a < b").select("a", "b", bits.cast("int").alias("bits")).filter(F.col("bits") <= most_bits).distinct()
-
-
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and ``hash``, the 64-bit SimHash of the whole text as 16 hex digits; null for a text without words.
 

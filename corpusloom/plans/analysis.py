@@ -43,9 +43,10 @@ LEVELS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 @query("SELECT " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{round(100 * q):02d}" for q in LEVELS) + ", count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events")
 def quantiles(spark, d):
-    """Exact; ``percentile`` merges counts of equal values before the last step."""
-    values = (F.round(F.percentile("value", F.lit(q)), 6).alias(f"p{round(100 * q):02d}") for q in LEVELS)
-    return table(spark, d, "events").agg(*values, F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    """Exact, without a task that holds all values."""
+    e = table(spark, d, "events").select("value")
+    q = R.exact_quantiles(e, "value", list(LEVELS)).select(*(F.round(f"q{i}", 6).alias(f"p{round(100 * x):02d}") for i, x in enumerate(LEVELS)))
+    return q.crossJoin(e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd")))  # one row each
 
 
 @query(EMB + " SELECT least(floor(pred_proba * 10), 9)::INTEGER AS bin, count(*)::BIGINT AS n FROM e GROUP BY 1")
@@ -179,15 +180,15 @@ def ht_precision(spark, d):
     return T.weighted_precision(rows, ["lang"], F.col("toxic"), (1 + F.pmod("doc_id", F.lit(4))).cast("double"))
 
 
-@query("WITH s AS (SELECT o_custkey AS uid, o_orderpriority, 20 AS drawn, 100 + 50 * (o_orderkey % 3) AS population FROM orders WHERE o_orderkey % 5 = 0) SELECT uid, round(1 - product(1 - drawn / population::DOUBLE), 9) AS inclusion_probability FROM s GROUP BY uid")
+@query("WITH s AS (SELECT o_custkey AS uid, o_orderpriority, 20 AS drawn, 100 + 50 * (o_orderkey % 3) AS population FROM orders) SELECT uid, round(1 - product(1 - drawn / population::DOUBLE), 9) AS inclusion_probability FROM s GROUP BY uid")
 def pi_inclusion(spark, d):
-    s = table(spark, d, "orders").filter(F.pmod("o_orderkey", F.lit(5)) == 0).select(F.col("o_custkey").alias("uid"), F.lit(20).alias("drawn"), (100 + 50 * F.pmod("o_orderkey", F.lit(3))).alias("population"))
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("uid"), F.lit(20).alias("drawn"), (100 + 50 * F.pmod("o_orderkey", F.lit(3))).alias("population"))
     return T.inclusion_probability(s, "uid", "drawn", "population")
 
 
-@query("SELECT p::DOUBLE AS p, n, round(kish, 6)::DOUBLE AS kish FROM (SELECT event_type AS p0, avg(value) AS p, count(*)::BIGINT AS n, sum(value) * sum(value) / sum(value * value) AS kish FROM events GROUP BY 1) WHERE false UNION ALL SELECT NULL, count(*)::BIGINT, round(sum(value) * sum(value) / sum(value * value), 6) FROM events")
+@query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value) * sum(value) / sum(value * value), 6) AS n_eff FROM events GROUP BY event_type")
 def kish_n_eff(spark, d):
-    return table(spark, d, "events").agg(F.lit(None).cast("double").alias("p"), F.count("*").alias("n"), F.round(S.kish(F.col("value")), 6).alias("kish"))
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(S.kish(F.col("value")), 6).alias("n_eff"))
 
 
 @query("WITH g AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY 1), q AS (SELECT lang, count(*) AS pop FROM documents GROUP BY 1) SELECT lang, n::BIGINT AS n, k::BIGINT AS hits, round(k / n::DOUBLE, 6) AS share, round_even(pop * (k / n::DOUBLE), 0)::BIGINT AS estimate FROM g JOIN q USING (lang)")

@@ -70,15 +70,17 @@ def dictionary(spark) -> DataFrame:
 def scored(spark, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     hits = R.match_phrases(docs, "doc_id", "text", dictionary(spark))
-    keys = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("phrase")))), "|")
+    # In the order of matches: by their end, at the same end the longer phrase first.
+    keyed = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct("end", (-F.length("phrase")).alias("longer"), "phrase"))))
+    keys = lambda c: F.array_join(F.transform(keyed(c), lambda x: x["phrase"]), "|")
     sums = hits.groupBy("doc_id").agg(F.sum("weight").alias("score"), keys(F.col("weight") >= 0).alias("pos_keys"), keys(F.col("weight") < 0).alias("neg_keys"))
     return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pos_keys", F.lit("")).alias("pos_keys"), F.coalesce("neg_keys", F.lit("")).alias("neg_keys"))
 
 
 _DICT = ", ".join(f"('{p}', {w}::DOUBLE)" for p, w in WEIGHTS.items())
 SCORED = f"""WITH dict(phrase, weight) AS (VALUES {_DICT}),
-hits AS (SELECT doc_id, phrase, weight FROM documents, dict WHERE regexp_matches(lower(coalesce(text, 'None')), '(^|[^\\p{{L}}\\p{{N}}])' || phrase || '($|[^\\p{{L}}\\p{{N}}])')),
-s AS (SELECT d.doc_id, coalesce(sum(weight), 0)::DOUBLE AS score, coalesce(string_agg(phrase, '|' ORDER BY phrase) FILTER (WHERE weight >= 0), '') AS pos_keys, coalesce(string_agg(phrase, '|' ORDER BY phrase) FILTER (WHERE weight < 0), '') AS neg_keys
+hits AS (SELECT doc_id, phrase, weight, length(regexp_extract(lower(coalesce(text, 'None')), '(?s)^(|.*?[^\\p{{L}}\\p{{N}}])' || phrase || '(?:$|[^\\p{{L}}\\p{{N}}])', 1)) + length(phrase) AS e FROM documents, dict WHERE regexp_matches(lower(coalesce(text, 'None')), '(^|[^\\p{{L}}\\p{{N}}])' || phrase || '($|[^\\p{{L}}\\p{{N}}])')),
+s AS (SELECT d.doc_id, coalesce(sum(weight), 0)::DOUBLE AS score, coalesce(string_agg(phrase, '|' ORDER BY e, length(phrase) DESC) FILTER (WHERE weight >= 0), '') AS pos_keys, coalesce(string_agg(phrase, '|' ORDER BY e, length(phrase) DESC) FILTER (WHERE weight < 0), '') AS neg_keys
   FROM documents d LEFT JOIN hits USING (doc_id) GROUP BY d.doc_id)"""
 
 
@@ -97,15 +99,16 @@ def kw_keep_counts(spark, d):
     return scored(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("score") >= -1).alias("kept"))
 
 
-@query(SCORED + """ SELECT category, count(*)::BIGINT AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM (SELECT CASE WHEN score < -1 THEN 'negative' WHEN score < 0 THEN 'slightly negative' WHEN score = 0 THEN 'zero' WHEN score <= 2 THEN 'low' WHEN score <= 4 THEN 'medium' ELSE 'high' END AS category FROM s) GROUP BY 1""")
+@query(SCORED + """ SELECT category, count(*)::BIGINT AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM (SELECT CASE WHEN score = -1 THEN '-1' WHEN score = -0.5 THEN '-0.5' WHEN score = 0 THEN '0' WHEN score = 0.5 THEN '0.5' WHEN score = 1 THEN '1'
+  WHEN score > 1 AND score <= 2 THEN '1 to 2' WHEN score > 2 AND score <= 5 THEN '2 to 5' WHEN score > 5 AND score <= 10 THEN '5 to 10' ELSE '10+' END AS category FROM s WHERE score >= -1) GROUP BY 1""")
 def score_category(spark, d):
-    s = F.col("score")
-    cat = F.when(s < -1, "negative").when(s < 0, "slightly negative").when(s == 0, "zero").when(s <= 2, "low").when(s <= 4, "medium").otherwise("high")
-    g = scored(spark, d).groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
+    """Nine classes of the scores that pass the filter; scores are multiples of a half."""
+    g = scored(spark, d).filter("score >= -1").groupBy(S.score_class(F.col("score")).alias("category")).agg(F.count("*").alias("n"))
     return g.crossJoin(g.agg(F.sum("n").alias("all"))).select("category", "n", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("pct"))  # one row
 
 
-EDGES = (-1, 0, 1, 2, 3, 4, 5, 7, 10)
+# Upper ends of the bins; the last one is open.
+EDGES = (-1, -0.5, 0, 0.5, 1, 2, 5, 10)
 
 
 @query(SCORED + " SELECT bin, count(*)::BIGINT AS n FROM (SELECT CASE " + " ".join(f"WHEN score > {a} AND score <= {b} THEN 'bin_{i}'" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:]), 1)) + " WHEN score > 10 THEN 'bin_8' ELSE 'bin_9' END AS bin FROM s WHERE score >= -1) GROUP BY 1")
@@ -156,20 +159,12 @@ def dup_keeper(spark, d):
     return R.keepers(g.join(votes, ["sha256", "source"]), "sha256", [F.desc("votes"), F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "is_duplicate")
 
 
-@query("SELECT doc_id, count(*) OVER (PARTITION BY substr(md5(coalesce(text, '')), 1, 4)) > 1 AS shares_hash FROM documents")
+@query("SELECT doc_id, count(*) OVER (PARTITION BY md5(coalesce(text, ''))) > 1 AS shares_hash FROM documents")
 def shared_hash_flag(spark, d):
-    h = table(spark, d, "documents").select("doc_id", F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 4).alias("h"))
-    return h.join(h.groupBy("h").agg((F.count("*") > 1).alias("shares_hash")), "h").select("doc_id", "shares_hash")
-
-
-HASHES = "SELECT vec_id, md5((vec_id // 4)::VARCHAR) AS m, vec_id % 4 AS k FROM embeddings"
-
-
-@query("WITH h AS (SELECT vec_id, substr(m, 1, 15) || CASE k WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '3' ELSE 'f' END AS h, k FROM (" + HASHES + ")), x AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(('0x' || substr(a.h, 9, 8))::BIGINT, ('0x' || substr(b.h, 9, 8))::BIGINT))::INTEGER + bit_count(xor(('0x' || substr(a.h, 1, 8))::BIGINT, ('0x' || substr(b.h, 1, 8))::BIGINT))::INTEGER AS bits FROM h a JOIN h b ON a.vec_id < b.vec_id) SELECT a, b, bits::INTEGER AS bits FROM x WHERE bits <= 2")
-def near_hash_pairs(spark, d):
-    k = F.pmod("vec_id", F.lit(4))
-    h = table(spark, d, "embeddings").select("vec_id", F.concat(F.substring(F.md5(F.floor(F.col("vec_id") / 4).cast("string")), 1, 15), F.when(k == 0, "0").when(k == 1, "1").when(k == 2, "3").otherwise("f")).alias("h"))
-    return R.near_hashes(h, "vec_id", "h", 2)
+    """Rows whose text's whole hash occurs more than once; counts are aggregated first and only shared hashes joined."""
+    h = table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+    shared = h.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    return h.join(shared, "h", "left").select("doc_id", F.col("n").isNotNull().alias("shares_hash"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \n\t\r]+')) AS w FROM documents), m AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS m FROM w),
@@ -228,9 +223,12 @@ def uid_intersection(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id").intersect(table(spark, d, "labels").filter("quality = 1").select("doc_id"))
 
 
-@query("SELECT coalesce(lang, '(all)') AS lang, coalesce(source, '(all)') AS source, count(*)::BIGINT AS n FROM documents GROUP BY ROLLUP (lang, source)")
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN '(all)' ELSE coalesce(lang, '(null)') END AS lang, CASE WHEN grouping(source) = 1 THEN '(all)' ELSE coalesce(source, '(null)') END AS source, count(*)::BIGINT AS n FROM (SELECT CASE WHEN doc_id % 17 <> 0 THEN lang END AS lang, source FROM documents) GROUP BY ROLLUP (lang, source)")
 def funnel_rollup(spark, d):
-    return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("(all)")).alias("lang"), F.coalesce("source", F.lit("(all)")).alias("source"), "n")
+    """Totals are told from null keys, of which every seventeenth document has one."""
+    docs = table(spark, d, "documents").select(F.when(F.pmod("doc_id", F.lit(17)) != 0, F.col("lang")).alias("lang"), "source")
+    name = lambda c: F.when(F.grouping(c) == 1, "(all)").otherwise(F.coalesce(c, F.lit("(null)"))).alias(c)
+    return docs.rollup("lang", "source").agg(F.count("*").alias("n"), name("lang").alias("_lang"), name("source").alias("_source")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n")
 
 
 @query("SELECT conv_id, string_agg(role || ':' || length(text), '|' ORDER BY turn) AS context, count(*)::BIGINT AS n_turns FROM conversations GROUP BY conv_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import relational as R
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -42,8 +43,11 @@ def distinct_lists(spark, d):
 @query("SELECT event_type, count(*)::BIGINT AS n, round(median(value), 6) AS median_value, round(avg((value > 50)::INTEGER), 6) AS share, avg((value > 50)::INTEGER) >= 0.7 AS passed FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def threshold_verdict(spark, d):
     """Share of hits in each group against a threshold of 0.7, with the group's exact median."""
+    e = table(spark, d, "events").filter("value is not null")
+    medians = R.exact_quantiles(e, "value", [0.5], "event_type").select(F.col("event_type").alias("kind"), F.round("q0", 6).alias("median_value"))
     hit = F.avg((F.col("value") > 50).cast("int"))
-    return table(spark, d, "events").filter("value is not null").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median_value"), F.round(hit, 6).alias("share"), (hit >= 0.7).alias("passed"))
+    shares = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(hit, 6).alias("share"), (hit >= 0.7).alias("passed"))
+    return shares.join(medians, F.col("event_type").eqNullSafe(F.col("kind"))).drop("kind").select("event_type", "n", "median_value", "share", "passed")
 
 
 @query("SELECT doc_id, source, lang FROM documents WHERE doc_id IS NOT NULL ORDER BY doc_id LIMIT 25")

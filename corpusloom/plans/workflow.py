@@ -18,10 +18,21 @@ def run_log_batches(spark, d):
     return e.select("run_id").distinct().join(e.filter("event_type = 'error'").select("run_id", "event_id"), "run_id", "left").groupBy("run_id").agg(F.count("event_id").alias("n_items"))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 50)")
+STATE = "SELECT c_custkey AS uid FROM customer WHERE c_mktsegment = 'BUILDING'"
+
+
+@query(f"SELECT uid, order_id, total FROM (SELECT o_custkey AS uid, o_orderkey AS order_id, o_totalprice AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k = 1 AND uid NOT IN ({STATE})")
 def insert_ignore(spark, d):
-    e = table(spark, d, "events")
-    return R.insert_ignore(e.filter("event_id < 50"), e.select("user_id"), "user_id")
+    """Orders, latest first, offered under their customer's id: one row of each customer that the state lacks."""
+    state = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("uid"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"), "o_orderdate")
+    return R.insert_ignore(state, rows, "uid", [F.desc("o_orderdate"), F.asc("order_id")]).select("uid", "order_id", "total")
+
+
+@query(f"SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN ({STATE}))::BIGINT AS inserted, (SELECT count(*) FROM orders)::BIGINT - (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN ({STATE}))::BIGINT AS skipped")
+def insert_counts(spark, d):
+    state = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("uid"))
+    return R.insert_counts(state, table(spark, d, "orders").select(F.col("o_custkey").alias("uid")), "uid")
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -89,9 +100,9 @@ def json_validate(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), (kind == "BIGINT").alias("k_is_number"), S.strict_bool(F.col("props"), "missing").alias("flag"))
 
 
-@query("SELECT reply, CASE WHEN reply LIKE '%{%}%' AND json_valid(regexp_extract(reply, '(?s)(\\{.*\\})', 1)) THEN regexp_extract(reply, '(?s)(\\{.*\\})', 1) END AS body FROM (SELECT CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'no object' ELSE props || ' done' END AS reply FROM events WHERE event_id < 300)")
+@query("SELECT reply, CASE WHEN reply LIKE '%{%}%' AND json_valid(regexp_extract(reply, '(?s)(\\{.*\\})', 1)) THEN regexp_extract(reply, '(?s)(\\{.*\\})', 1) END AS body FROM (SELECT CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'no object' ELSE props || ' done' END AS reply FROM events)")
 def tolerant_json(spark, d):
-    e = table(spark, d, "events").filter("event_id < 300")
+    e = table(spark, d, "events")
     k = F.pmod("event_id", F.lit(3))
     reply = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, "no object").otherwise(F.concat("props", F.lit(" done")))
     return e.select(reply.alias("reply")).select("reply", S.json_object(F.col("reply")).alias("body"))

@@ -22,8 +22,8 @@ def test_phrase_scores(spark, text, expected):
     docs = spark.createDataFrame([(1, text)], "id long, text string")
     hits = relational.match_phrases(docs, "id", "text", words).collect()
     assert sum(h["weight"] for h in hits) == expected
-    wide = relational.match_phrases(docs, "id", "text", words, most_broadcast=0).collect()
-    assert sorted(hits) == sorted(wide)
+    for most in ((0, 200_000), (0, 0)):
+        assert sorted(hits) == sorted(relational.match_phrases(docs, "id", "text", words, *most).collect())
 
 
 def test_negative_weight_wins(spark):
@@ -85,13 +85,6 @@ def test_running_matches_plain_sums(spark):
     assert relational.running(df.limit(0), "o", {"total": "v"}).count() == 0
 
 
-def test_near_hashes(spark):
-    df = spark.createDataFrame([(1, "ffff00000000000f"), (2, "ffff00000000000c"), (3, "0000ffffffff0000"), (4, None)], "k long, h string")
-    assert [tuple(r) for r in relational.near_hashes(df, "k", "h").collect()] == [(1, 2, 2)]
-    with pytest.raises(ValueError):
-        relational.near_hashes(df, "k", "h", 4)
-
-
 def test_simhash_links_near_texts_and_not_every_pair_of_copies(spark):
     body = " ".join(f"word{i}" for i in range(400))
     texts = {9: body, 1: body, 2: body.upper(), 3: body + " one", 4: " ".join(f"other{i}" for i in range(400)), 5: None, 6: " \n"}
