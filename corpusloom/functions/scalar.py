@@ -126,11 +126,90 @@ def http_status(code: Column, error: Column) -> Column:
     return F.when(code < 400, "alive").when(code >= 400, "dead").when(error == "timeout", "dead").otherwise("error")
 
 
+# US dollars per million tokens, of input, output, cache reads and cache writes, by tier of model.
+RATES = {"small": (1.0, 5.0, 0.1, 1.25), "large": (3.0, 15.0, 0.3, 3.75)}
+
+
 def cost(tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column, rates: tuple[float, float, float, float]) -> Column:
     """US dollars by rates per million tokens."""
     return (tokens_in * rates[0] + tokens_out * rates[1] + cache_read * rates[2] + cache_write * rates[3]) / F.lit(1e6)
 
 
+def tier_cost(model: Column, tokens_in: Column, tokens_out: Column, cache_read: Column, cache_write: Column) -> Column:
+    """Cost by the tier that a model's name tells: haiku is small, sonnet and all others large."""
+    each = {name: cost(tokens_in, tokens_out, cache_read, cache_write, rates) for name, rates in RATES.items()}
+    return F.when(F.contains(F.lower(model), F.lit("haiku")), each["small"]).otherwise(each["large"])
+
+
+def host_domain(url: Column) -> Column:
+    """The network location with every ``www.`` taken out; port and user stay; empty without scheme."""
+    return F.replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("www."), F.lit(""))
+
+
+# Names of the languages that texts are counted by.
+LANGUAGES = {
+    "en": "English", "fr": "French", "de": "German", "ko": "Korean", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "ru": "Russian", "ja": "Japanese", "zh-cn": "Chinese", "ar": "Arabic", "tr": "Turkish",
+    "sv": "Swedish", "da": "Danish", "no": "Norwegian", "fi": "Finnish", "cs": "Czech", "ro": "Romanian", "hu": "Hungarian", "uk": "Ukrainian", "vi": "Vietnamese", "id": "Indonesian", "unknown": "Unknown",
+}
+
+
+def language_name(code: Column) -> Column:
+    """A language's name; a code without one stays as it is."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), code), code)
+
+
+def phrase_key(phrase: Column) -> Column:
+    return F.lower(F.replace(phrase, F.lit(" "), F.lit("_")))
+
+
+def verdict_flag(answer: Column) -> Column:
+    """YES and NO as 1 and 0; anything else, INVALID too, is null and to be dropped."""
+    return F.when(answer == "YES", 1).when(answer == "NO", 0)
+
+
+def as_bool(number: Column) -> Column:
+    """1 and 0 as true and false; any other number and null are null."""
+    return F.when(number == 1, True).when(number == 0, False)
+
+
+def download_status(code: Column, size: Column, decoded: Column, image_format: Column, error: Column, most_mb: int = 20, accepted: tuple[str, ...] = ("JPEG", "PNG", "GIF", "WEBP", "BMP", "TIFF")) -> Column:
+    """failed: an error, a code but 200, or too large; not_image: doesn't decode, or no accepted format; else success."""
+    bad = error.isNotNull() | code.isNull() | (code != 200) | (size > most_mb * 1024 * 1024)
+    return F.when(bad, "failed").when(~F.coalesce(decoded & image_format.isin(*accepted), F.lit(False)), "not_image").otherwise("success")
+
+
+# File extensions by format, of stored images and of fetched ones, with what other formats get.
+STORED = ({"JPEG": ".jpg", "PNG": ".png", "GIF": ".gif", "WEBP": ".webp", "BMP": ".bmp", "TIFF": ".tiff"}, ".jpg")
+FETCHED = ({"JPEG": ".jpg", "PNG": ".png", "WEBP": ".webp", "BMP": ".bmp"}, ".img")
+
+
+def extension(image_format: Column, table: tuple[dict[str, str], str] = STORED) -> Column:
+    names, other = table
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), image_format), F.lit(other))
+
+
+def retry_verdict(code: Column, message: Column, attempt: Column, attempts: int) -> Column:
+    """What to do after a failed attempt (numbered from 0): ``wait`` after a limit was hit (429, 529, overloaded), ``again``
+    after a passing fault (408, 425, 5xx, a time-out), ``error`` after any other or the last attempt.
+    """
+    low = F.lower(F.coalesce(message, F.lit("")))
+    limited = code.isin(429, 529) | F.contains(low, F.lit("rate_limit")) | F.contains(low, F.lit("overloaded"))
+    passing = code.isin(408, 425) | code.between(500, 599) | F.contains(low, F.lit("timeout"))
+    last = attempt >= attempts - 1
+    no = F.lit(False)
+    return F.when(last, "error").when(F.coalesce(limited, no) | F.rlike(low, F.lit("429|529")), "wait").when(F.coalesce(passing, no), "again").otherwise("error")
+
+
+def backoff(attempt: Column, base: float = 1.0) -> Column:
+    """Seconds before the next attempt: doubled each time."""
+    return base * F.pow(F.lit(2.0), attempt)
+
+
+def utc_stamp(at: Column) -> Column:
+    """ISO time to the second, in UTC where the session's zone is."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def score_class(score: Column) -> Column:
     """Nine classes of a score that is a multiple of a half and at least -1."""
     at = lambda v, name: (score == v, name)

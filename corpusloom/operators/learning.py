@@ -35,15 +35,18 @@ def estimators(seed: int = 42) -> dict:
         "logistic": LogisticRegression(maxIter=100, **common),
         "logistic_l1": LogisticRegression(maxIter=100, elasticNetParam=1.0, regParam=0.01, **common),
         "forest": RandomForestClassifier(numTrees=200, maxDepth=20, minInstancesPerNode=2, seed=seed, **common),
+        # Weights hold for all trees; a half of the rows for each tree stands in for weights of its own.
+        "forest_subsample": RandomForestClassifier(numTrees=200, maxDepth=20, minInstancesPerNode=2, subsamplingRate=0.5, seed=seed, **common),
         "boosted": GBTClassifier(seed=seed, **common),
         "linear_svm": LinearSVC(**common),
     }
 
 
-def train(df: DataFrame, array_col: str, name: str = "logistic", seed: int = 42) -> PipelineModel:
-    """Scaler and classifier on ``array_col`` and a 0/1 column ``label``, with balanced weights."""
+def train(df: DataFrame, array_col: str, name: str = "logistic", seed: int = 42, weighted: bool = True) -> PipelineModel:
+    """Scaler and classifier on ``array_col`` and a 0/1 column ``label``, with balanced weights or none."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return Pipeline(stages=[scaler, estimators(seed)[name]]).fit(balanced(vectors(df, array_col), "label"))
+    rows = vectors(df, array_col)
+    return Pipeline(stages=[scaler, estimators(seed)[name]]).fit(balanced(rows, "label") if weighted else rows.withColumn("weight", F.lit(1.0)))
 
 
 def score(df: DataFrame, model: PipelineModel, array_col: str, platt: tuple[float, float] = (-1.0, 0.0)) -> DataFrame:
@@ -90,34 +93,48 @@ def fourier_features(df: DataFrame, array_col: str, gamma: float, n: int = 256,
     return df.withColumn("rff", project(array_col))
 
 
-def smote(df: DataFrame, key: str, array_col: str, label: str, ratio: float = 0.3, k: int = 3, seed: int = 42, max_minority: int = 20_000) -> DataFrame:
+def smote(df: DataFrame, key: str, array_col: str, label: str, ratio: float = 0.3, k: int = 3, seed: int = 42, block: int = 4096) -> DataFrame:
     """New minority rows between a row and one of its ``k`` nearest of its class, until minority : majority is ``ratio``.
 
-    The minority is a bounded set that every task compares with; more than ``max_minority`` rows is a ValueError.
+    The minority is cut into blocks by a hash of the key, and every row meets every block: a task holds one block and the
+    stream of rows, so the minority may have any size (the work is its square, as nearest neighbours of all rows need).
+    A row's new ones number as many as the need asks of each, one more for the first in seeded order.
     """
-    few = df.filter(F.col(label) == 1).select(key, array_col).orderBy(key).limit(max_minority + 1).toPandas()
-    if len(few) > max_minority:
-        raise ValueError(f"more than {max_minority} minority rows")
-    need = max(0, int(df.filter(F.col(label) == 0).count() * ratio) - len(few))
     spark = df.sparkSession
-    if need == 0 or len(few) < 2:
-        return spark.createDataFrame([], f"base {df.schema[key].dataType.simpleString()}, {array_col} array<double>, {label} int")
-    given = spark.sparkContext.broadcast((few[key].to_numpy(), np.stack(few[array_col]).astype(float)))
-
-    def run(batches):
-        keys, xs = given.value
-        for pdf in batches:
-            rows = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                base = int(i) % len(xs)
-                d = ((xs - xs[base]) ** 2).sum(1)
-                d[base] = np.inf
-                near = np.argsort(d, kind="stable")[: min(k, len(xs) - 1)]
-                rows.append((keys[base], list(xs[base] + rng.random() * (xs[rng.choice(near)] - xs[base])), 1))
-            yield pd.DataFrame(rows, columns=["base", array_col, label])
-
-    return spark.range(need).mapInPandas(run, f"base {df.schema[key].dataType.simpleString()}, {array_col} array<double>, {label} int")
+    kind = df.schema[key].dataType.simpleString()
+    few = df.filter(F.col(label) == 1).select(F.col(key).alias("k"), F.transform(array_col, lambda v: v.cast("double")).alias("x"))
+    n, all_ = few.count(), df.filter(F.col(label) == 0).count()
+    need = max(0, int(all_ * ratio) - n)
+    if need == 0 or n < 2:
+        return spark.createDataFrame([], f"base {kind}, {array_col} array<double>, {label} int")
+    blocks = max(1, -(-n // block))
+    pieces = few.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("side", F.lit(0))
+    asked = few.select("k", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("side"))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        have, want = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(have) or not len(want):
+            return pd.DataFrame({"k": [], "d": [], "near": []})
+        xs, keys, rows = np.stack(have["x"]), have["k"].to_numpy(), []
+        for at in range(0, len(want), 512):
+            part = want.iloc[at : at + 512]
+            q = np.stack(part["x"])
+            d = np.maximum((q * q).sum(1)[:, None] + (xs * xs).sum(1) - 2 * q @ xs.T, 0)
+            d[part["k"].to_numpy()[:, None] == keys[None, :]] = np.inf
+            for i, order in enumerate(np.argsort(d, axis=1, kind="stable")[:, :k]):
+                rows += [(part["k"].iloc[i], float(d[i, j]), xs[j].tolist()) for j in order if np.isfinite(d[i, j])]
+        return pd.DataFrame(rows, columns=["k", "d", "near"])
+
+    found = pieces.unionByName(asked).groupBy("b").applyInPandas(nearest, f"k {kind}, d double, near array<double>")
+    best = found.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near"))), 1, k).alias("near")).join(few, "k")
+    each, rest = divmod(need, n)
+    lucky = few.select("k").orderBy(S.seeded(seed, F.col("k")), "k").limit(rest).withColumn("more", F.lit(1))
+    times = best.join(lucky, "k", "left").withColumn("times", F.lit(each) + F.coalesce("more", F.lit(0)))
+    draw = lambda what: F.pmod(F.xxhash64(F.lit(f"{seed}|{what}"), "k", "i"), F.lit(1 << 30)) / float(1 << 30)
+    made = times.filter("times > 0").select("k", "x", "near", F.explode(F.sequence(F.lit(1), "times")).alias("i"))
+    other = F.get("near", F.floor(draw("which") * F.size("near")).cast("int"))["near"]
+    made = made.withColumn("other", other).withColumn("u", draw("where"))
+    return made.select(F.col("k").alias("base"), F.zip_with("x", "other", lambda a, b: a + F.col("u") * (b - a)).alias(array_col), F.lit(1).alias(label))
 
 
 def with_uncertainty(df: DataFrame, p: str = "pred_proba") -> DataFrame:

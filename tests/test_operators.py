@@ -157,13 +157,12 @@ def test_json_is_the_longest_prefix_that_parses(spark):
     assert {r["t"]: r["b"] for r in got} == want
 
 
-def test_require_and_manifest(spark):
+def test_require_and_markdown(spark):
     df = spark.createDataFrame([("x", 3)], "name string, n long")
     release.require(df, {"x": 3})
     with pytest.raises(ValueError):
         release.require(df, {"x": 4})
-    m = tables.manifest(df, "p")
-    assert m["rows"] == 1 and m == tables.manifest(df, "p") and "| x | 3 |" in tables.markdown(df.collect(), ["name", "n"])
+    assert "| x | 3 |" in tables.markdown(df.collect(), ["name", "n"])
 
 
 def test_files(spark, tmp_path):
@@ -174,7 +173,7 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, tables.json_map(spark, str(tmp_path / "d.json")).collect())) == [("a b", 1.5), ("c", -2.0)]
     (tmp_path / "x.csv").write_text("a,b\n1,\n,2\n")
     assert sorted(map(tuple, tables.csv(spark, str(tmp_path / "x.csv")).collect())) == [("", "2"), ("1", "")]
-    assert tables.key_values(spark, ["# c", "A='x'", "B = y"]) == {"A": "x", "B": "y"}
+    assert tables.key_values(["# c", "A='x'", "B = y"]) == {"A": "x", "B": "y"}
 
 
 def test_stream_resumes(spark, tmp_path):
