@@ -146,6 +146,21 @@ def merge_dictionaries(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.join(negative.select("phrase"), "phrase", "left_anti").unionByName(negative).select(F.lower("phrase").alias("phrase"), "weight")
 
 
+def with_translations(phrases: DataFrame, translations: list[DataFrame], key: str = "key") -> DataFrame:
+    """``phrases`` with the columns of each table of translations, null where a key has none."""
+    return reduce(lambda out, t: out.join(t, key, "left"), translations, phrases)
+
+
+def flatten_translations(wide: DataFrame, key: str, weight: str, order: str) -> DataFrame:
+    """phrase, weight from one row a key and one column a language; of equal phrases the last by ``order`` and then by
+    column has its weight.  Null translations are left out.
+    """
+    languages = [c for c in wide.columns if c not in (key, weight, order)]
+    each = F.array(*(F.struct(F.lit(i).alias("at"), F.col(c).alias("phrase")) for i, c in enumerate(languages)))
+    rows = wide.select(order, weight, F.inline(each)).filter("phrase is not null")
+    return rows.groupBy("phrase").agg(F.max_by(weight, F.struct(order, "at")).alias("weight"))
+
+
 def allocate(df: DataFrame, key: str, p: str, target: int, strata: list[tuple[float, float, float]], seed: int) -> DataFrame:
     """``int(target * fraction)`` rows of each stratum [lo, hi), in seeded order; shortfalls stay.
 

@@ -10,6 +10,7 @@ from corpusloom.operators import learning as L
 from corpusloom.operators import relational as R
 from corpusloom.operators import statistics as T
 from corpusloom.plans.registry import query
+from corpusloom.plans.validation import fisher_sql, mcnemar_sql
 from corpusloom.sources.tables import table
 
 
@@ -162,11 +163,11 @@ def crosstab_2x2(spark, d):
     return table(spark, d, "labels").agg(F.count_if(a & b).alias("both_yes"), F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"), F.count_if(~a & ~b).alias("both_no"))
 
 
-@query()
+@query("WITH n AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS d FROM labels) SELECT coalesce(" + mcnemar_sql("b", "c") + ", 1.0) AS mcnemar_p, " + fisher_sql("a", "b", "c", "d") + " AS fisher_p FROM n")
 def mcnemar_fisher(spark, d):
     """Exact p values from the four counts."""
     r = crosstab_2x2(spark, d).first()
-    return spark.createDataFrame([(T.mcnemar_p(r["only_first"], r["only_second"]), T.fisher_p(*r))], "mcnemar_p double, fisher_p double")
+    return spark.createDataFrame([(round(T.mcnemar_p(r["only_first"], r["only_second"]), 9), round(T.fisher_p(*r), 9))], "mcnemar_p double, fisher_p double")
 
 
 @query()
@@ -199,12 +200,6 @@ def audit_extrapolation(spark, d):
     return g.join(docs.groupBy("lang").agg(F.count("*").alias("pop")), "lang").select("lang", "n", "hits", F.round(share, 6).alias("share"), F.bround(F.col("pop") * share, 0).cast("long").alias("estimate"))
 
 
-@query("WITH f AS (SELECT lang, source FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 1) SELECT lang, count(*)::BIGINT AS n_false, count(DISTINCT source)::BIGINT AS n_sources FROM f GROUP BY lang")
-def error_patterns(spark, d):
-    wrong = table(spark, d, "labels").filter("quality = 1 and toxic = 1").join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return wrong.groupBy("lang").agg(F.count("*").alias("n_false"), F.countDistinct("source").alias("n_sources"))
-
-
 @query("SELECT lang, CASE WHEN count(*) >= 60 THEN round(avg(toxic), 6) END AS share FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def share_by_level(spark, d):
     """Shares of levels with fewer than 60 rows are withheld."""

@@ -200,9 +200,12 @@ def corpus_facts(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("n_rows"), F.countDistinct("source").alias("n_sources"), F.countDistinct("lang").alias("n_langs"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("lang") == "en").alias("n_en"), F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("n_texts"))
 
 
-@query("SELECT 'doc_id' AS column_name, 'bigint' AS dtype, count(*) FILTER (WHERE doc_id IS NULL)::BIGINT AS n_null, min(doc_id)::VARCHAR AS min_value, max(doc_id)::VARCHAR AS max_value FROM labels UNION ALL SELECT 'quality', 'int', count(*) FILTER (WHERE quality IS NULL)::BIGINT, min(quality)::VARCHAR, max(quality)::VARCHAR FROM labels UNION ALL SELECT 'toxic', 'int', count(*) FILTER (WHERE toxic IS NULL)::BIGINT, min(toxic)::VARCHAR, max(toxic)::VARCHAR FROM labels")
+_PROFILED = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL)::BIGINT AS n_null, count(DISTINCT {c})::BIGINT AS n_distinct, min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value, round(median({c}), 6)::DOUBLE AS median FROM labels" for c, t in (("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")))
+
+
+@query(_PROFILED)
 def column_profile(spark, d):
-    return release.profile(table(spark, d, "labels")).drop("n_distinct")
+    return release.profile(table(spark, d, "labels")).drop("listing")
 
 
 @query("SELECT 'unique key' AS check_name, (count(*) - count(DISTINCT doc_id))::BIGINT AS n_failed FROM documents UNION ALL SELECT 'length', count(*) FILTER (WHERE n_chars <> length(text))::BIGINT FROM documents UNION ALL SELECT 'hash length', count(*) FILTER (WHERE length(sha256(text)) <> 64)::BIGINT FROM documents")
