@@ -6,6 +6,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,7 +178,6 @@ def perceptual_hash(df: DataFrame, gray: str, out: str = "phash", side: int = 32
     """64-bit hash (16 hex digits) of gray values, row by row, of a ``side`` x ``side`` picture: signs of the 8 x 8 lowest
     cosine frequencies against their median.  Null where the array has another size.
     """
-    import pandas as pd
 
     k = np.arange(side)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * side)) * np.where(k == 0, np.sqrt(1 / side), np.sqrt(2 / side))[:, None]
