@@ -13,7 +13,8 @@ def components(edges: DataFrame, scratch: shared.Scratch | None = None, most_rou
 
     Self-edges, nulls and repeated edges don't matter; no edges give an empty result.  The number of rounds grows with the
     logarithm of the longest path.  Minima of neighbours are aggregated before the shuffle, so a hub is one row of each
-    task.  The result reads a table of ``scratch`` or, without one, a table of its own; earlier rounds' tables are deleted.
+    task; they are written, so that both sides of the join with them are shuffled and a hub's rows can be split there.  The
+    result reads a table of ``scratch`` or, without one, a table of its own; earlier rounds' tables are deleted.
     """
     spark = edges.sparkSession
     old = shared.Scratch(spark, "edges", scratch)
@@ -25,9 +26,9 @@ def components(edges: DataFrame, scratch: shared.Scratch | None = None, most_rou
             break
         before, new = state, shared.Scratch(spark, "edges", scratch)
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = new.put(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = new.put(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = new.put(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = new.put(small.union(least.select("u", "m")).distinct(), "small-star")
         old.drop()
