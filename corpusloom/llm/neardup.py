@@ -431,7 +431,7 @@ def _verify(docs: DataFrame, canopies: DataFrame, stars: DataFrame, scratch, wor
     return roots
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, registers: int = REGISTERS, band: int = BAND, likely: float = LIKELY, block: int = 1024, canopy_block: int = 128, spokes: int = 256, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, registers: int = REGISTERS, band: int = BAND, likely: float = LIKELY, block: int = 512, canopy_block: int = 128, spokes: int = 256, rounds: int = 2) -> DataFrame:
     """One row per document: ``doc_id``, ``group_id`` (the group's least doc_id), ``kept``.
 
     Texts without words (null, empty, blank) have no shingles: each is its own group.  Ties: the least doc_id is kept.
