@@ -157,15 +157,17 @@ def complete_sets(gold: DataFrame, subject: str, field: str, fields: int, model:
 
 
 def bootstrap_f1(df: DataFrame, label: str, predicted, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and percentile bounds of F1: resampled rows are multinomial draws of the four cells."""
+    """metric, n, mean, deviation and percentile bounds of F1, precision and recall: resampled rows are multinomial draws
+    of the four cells, so only these are gathered.  A rate whose denominator is 0 counts as 0; without rows all are null.
+    """
     import numpy as np
 
     c = confusion(df, label, predicted).first()
     cells = np.array([c["tp"], c["fp"], c["tn"], c["fn"]], float)
     n = int(cells.sum())
-    row = (n, None, None, None)
+    rows = [(m, n, None, None, None, None) for m in ("f1", "precision", "recall")]
     if n:
-        draws = np.random.default_rng(seed).multinomial(n, cells / n, resamples)
-        f1 = 2 * draws[:, 0] / np.maximum(2 * draws[:, 0] + draws[:, 1] + draws[:, 3], 1)
-        row = (n, float(f1.mean()), *(float(x) for x in np.percentile(f1, [2.5, 97.5])))
-    return df.sparkSession.createDataFrame([row], "n long, mean double, low double, high double")
+        tp, fp, _, fn = np.random.default_rng(seed).multinomial(n, cells / n, resamples).T
+        each = {"f1": 2 * tp / np.maximum(2 * tp + fp + fn, 1), "precision": tp / np.maximum(tp + fp, 1), "recall": tp / np.maximum(tp + fn, 1)}
+        rows = [(m, n, float(x.mean()), float(x.std()), *(float(v) for v in np.percentile(x, [2.5, 97.5]))) for m, x in each.items()]
+    return df.sparkSession.createDataFrame(rows, "metric string, n long, mean double, sd double, low double, high double")

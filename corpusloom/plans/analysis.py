@@ -172,7 +172,7 @@ def mcnemar_fisher(spark, d):
 
 @query()
 def bootstrap_kappa(spark, d):
-    return T.bootstrap_kappa(table(spark, d, "labels"), "quality", "toxic", 500)
+    return T.bootstrap_kappa(table(spark, d, "labels"), "quality", "toxic", 2000)
 
 
 @query("WITH w AS (SELECT lang, toxic, (1 + doc_id % 4)::DOUBLE AS w FROM labels JOIN documents USING (doc_id)), g AS (SELECT lang, count(*)::BIGINT AS n, sum(w * toxic) / sum(w) AS p, sum(w) * sum(w) / sum(w * w) AS ne, 1.959963985 AS z FROM w GROUP BY 1) SELECT lang, n, round(p, 6) AS precision, round(ne, 6) AS n_eff, round(greatest(0.0, (p + z * z / (2 * ne) - z * sqrt(p * (1 - p) / ne + z * z / (4 * ne * ne))) / (1 + z * z / ne)), 6)::DOUBLE AS low, round(least(1.0, (p + z * z / (2 * ne) + z * sqrt(p * (1 - p) / ne + z * z / (4 * ne * ne))) / (1 + z * z / ne)), 6)::DOUBLE AS high FROM g")
@@ -282,7 +282,7 @@ def greedy_strata_draw(spark, d):
 
 @query()
 def bootstrap_f1(spark, d):
-    return T.bootstrap_f1(judged(spark, d), "label", F.col("score") >= 0.3, 500)
+    return T.bootstrap_f1(judged(spark, d), "label", F.col("score") >= 0.3, 1000)
 
 
 @query("WITH c AS (SELECT doc_id, quality = 1 AS a, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END = 1 AS b FROM labels) SELECT a AS left_yes, b AS right_yes, count(*)::BIGINT AS n FROM c GROUP BY 1, 2")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar as S
-from corpusloom.operators import cascade, coding, learning, modelling, relational, release, state
+from corpusloom.operators import cascade, coding, learning, modelling, relational, release, state, statistics
 
 
 def test_updates_leave_what_a_change_does_not_give(spark):
@@ -239,3 +239,25 @@ def test_blinding_and_keepers(spark):
     assert [r["position"] for r in got] == list(range(1, 11)) and [r["uid"] for r in got] != sorted(r["uid"] for r in got)
     dup = relational.keepers(spark.createDataFrame([(1, "g"), (2, "g"), (3, None), (4, None)], "k int, g string"), "g", [F.asc("k")])
     assert {r["k"]: r["is_duplicate"] for r in dup.collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_bootstraps_agree_with_resampled_rows(spark):
+    rng = np.random.default_rng(8)
+    a = rng.random(300) < 0.4
+    b = np.where(rng.random(300) < 0.15, ~a, a)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "label int, p int")
+
+    def kappa(x, y):
+        po, pe = (x == y).mean(), x.mean() * y.mean() + (1 - x.mean()) * (1 - y.mean())
+        return (po - pe) / (1 - pe)
+
+    draws = [rng.integers(0, 300, 300) for _ in range(2000)]
+    want = np.percentile([kappa(a[i], b[i]) for i in draws], [2.5, 97.5])
+    r = statistics.bootstrap_kappa(df, "label", "p", 2000).first()
+    assert (r["low"], r["high"]) == pytest.approx(tuple(want), abs=0.02) and r["n"] == 300
+    got = {r["metric"]: r for r in statistics.bootstrap_f1(df, "label", F.col("p") == 1).collect()}
+    for metric, f in (("precision", lambda x, y: (x & y).sum() / y.sum()), ("recall", lambda x, y: (x & y).sum() / x.sum()), ("f1", lambda x, y: 2 * (x & y).sum() / (x.sum() + y.sum()))):
+        low, high = np.percentile([f(a[i], b[i]) for i in draws], [2.5, 97.5])
+        assert (got[metric]["low"], got[metric]["high"]) == pytest.approx((low, high), abs=0.02)
+    empty = statistics.bootstrap_f1(df.limit(0), "label", F.col("p") == 1).first()
+    assert empty["n"] == 0 and empty["mean"] is None
