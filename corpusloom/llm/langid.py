@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -166,34 +166,39 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 400, max_languages: int = 256, hidden: int = 8, window: int = 64, steps: int = 300) -> BiGRU | None:
+def learn(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 400, max_languages: int = 10_000, hidden: int = 8, window: int = 64, steps: int = 300) -> BiGRU | None:
     """A network from documents that are not held out and have a language; None if there are none.
 
-    Bounded sample: about ``sample_docs`` documents a language, by a hash of their ids, and of each ``sample_chars``
-    characters at a hashed place.  More than ``max_languages`` languages is a ValueError.
+    Bounded sample: about ``sample_docs`` documents a language (twice as many at most, the first by the hash of their
+    ids, then by id and text), and of each ``sample_chars`` characters at a hashed place; languages beyond the
+    ``max_languages`` most frequent ones aren't learned.  The same table gives the same network.
     """
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    counts = usable.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    counts = sorted(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect(), key=lambda r: r["lang"])
     if not counts:
         return None
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample_docs / row["count"]))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in counts], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
     place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int") + 1
-    rows = usable.filter(draw < share).select("doc_id", "lang", F.substring(F.col("text"), place, F.lit(sample_chars)).alias("part")).limit(2 * sample_docs * len(counts)).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["part"]))
+    drawn = usable.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), "lang").filter(draw < F.col("share"))  # ``max_languages`` rows at most
+    cut = drawn.select("doc_id", "lang", draw.alias("draw"), F.substring(F.col("text"), place, F.lit(sample_chars)).alias("part"))
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "part")
+    rows = cut.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= 2 * sample_docs).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["part"]))
     classes = [row["lang"] for row in counts]
+    number = {c: k for k, c in enumerate(classes)}
     net = BiGRU(classes, hidden, window)
     if len(classes) > 1:
-        net.train([r["part"] for r in rows], [classes.index(r["lang"]) for r in rows], steps)
+        net.train([r["part"] for r in rows], [number[r["lang"]] for r in rows], steps)
     return net
 
 
 def identify(docs: DataFrame, net: BiGRU | None) -> DataFrame:
-    """doc_id, lang_pred, score for each row.  ``und`` with score 0 for null text, text without a letter, or no network."""
+    """doc_id, lang_pred, score for each row.  ``und`` with score 0 for null text, text without a letter, or no network.
+
+    Equal probabilities: the first language in order of name.  Repeated rows get equal predictions, very long texts are
+    read whole, window by window, and an empty table gives an empty result.
+    """
     given = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):

@@ -321,6 +321,44 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[at]) < 2e-3
 
 
+def test_predictions_match_a_loop_over_bytes():
+    rng = np.random.default_rng(2)
+    net = langid.BiGRU(["a", "b", "c"], hidden=4, window=8, seed=3)
+    texts = [bytes(rng.integers(32, 255, n).astype(np.uint8)) for n in (1, 7, 8, 9, 40, 61)] + [b""]
+
+    def states(gru, window):
+        h, p, state, out = gru.h, gru.p, np.zeros(gru.h), []
+        for byte in window:
+            gx, gh = p["x"][:, byte], p["u"] @ state
+            z, r = (1 / (1 + np.exp(-(gx[k * h : (k + 1) * h] + gh[k * h : (k + 1) * h]))) for k in (0, 1))
+            n = np.tanh(gx[2 * h :] + r * (gh[2 * h :] + p["b"][:, 0]))
+            state = (1 - z) * n + z * state
+            out.append(state)
+        return out
+
+    got = net.predict(texts, lanes=3)
+    for text, p in zip(texts, got):
+        total = np.zeros(3)
+        for at in range(0, len(text), 8):
+            part = text[at : at + 8].ljust(8)
+            ahead, back = states(net.ahead, part), states(net.back, part[::-1])[::-1]
+            for t in range(min(8, len(text) - at)):
+                y = net.out["v"] @ np.concatenate([ahead[t], back[t]]) + net.out["c"][:, 0]
+                total += np.exp(y - y.max()) / np.exp(y - y.max()).sum()
+        assert p == pytest.approx(total / max(1, len(text)), abs=1e-5)
+
+
+def test_language_sample_is_stable_and_long_texts_are_read(spark):
+    rows = [(None if i % 9 == 0 else i % 40, f"{'the and of ' if i % 2 else 'der und ein '}{i} " * 5, "en" if i % 2 else "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    nets = [langid.learn(docs.repartition(n), sample_docs=20, steps=5) for n in (2, 5)]
+    assert all((a.p[k] == b.p[k]).all() for a, b in ((nets[0].ahead, nets[1].ahead), (nets[0].back, nets[1].back)) for k in a.p)
+    assert langid.learn(docs, sample_docs=20, steps=5, max_languages=1).classes == ["de"]
+    long = spark.createDataFrame([(1, "der und ein " * 100_000), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in langid.identify(long, nets[0]).collect()} == {1: True, 2: False}
+    assert langid.identify(long.limit(0), nets[0]).count() == 0
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     extra = spark.createDataFrame([(100_001, None, "en"), (100_002, "12 34", "en"), (100_003, "", None), (100_004, "the and thing", None)], docs.schema)
