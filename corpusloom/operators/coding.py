@@ -57,6 +57,19 @@ def field_analysis(codings: DataFrame, first: str, second: str) -> DataFrame:
     return dropped.join(stats, "field", "left").join(facts, "field", "left").select("field", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "dropped", "agreement", "kappa", "prevalence_index", "bias_index", "disagreements", "share_disagreements", "confusion")
 
 
+def standard_summary(gold: DataFrame, field: str, model: str, positive: str, weight: str) -> DataFrame:
+    """For each field and reference standard: n of gold codes, agreement and kappa with the model, precision of the
+    model's positives with its bounds, and the field's spread: largest less smallest precision of the standards.
+
+    A standard without positives has null precision and is left out of the spread; one without gold codes has no row.
+    """
+    by = [field, "variant"]
+    same = pair_statistics(gold.select(*by, F.col(model).alias("a"), F.col("gold").alias("b")), by).withColumnRenamed("n", "n_gold")
+    found = T.weighted_precision(gold.filter(F.col(model) == positive), by, F.col("gold") == positive, F.col(weight))
+    spread = found.groupBy(field).agg(F.round(F.max("precision") - F.min("precision"), 6).alias("spread"))
+    return same.join(found, by, "left").join(spread, field, "left").select(*by, "n_gold", "agreement", "kappa", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "precision", "n_eff", "low", "high", "spread")
+
+
 def in_order(df: DataFrame, field: str, order: list[str]) -> DataFrame:
     """``df`` with ``position``: the place of its field in a codebook, unknown fields after all."""
     place = F.array_position(F.array(*(F.lit(f) for f in order)), F.col(field))

@@ -56,6 +56,20 @@ def inclusion_probability(strata: DataFrame, key: str, drawn: str, population: s
     return strata.groupBy(key).agg(F.round(1 - F.product(1 - F.col(drawn) / F.col(population)), 9).alias("inclusion_probability"))
 
 
+def extrapolated(groups: DataFrame, by: list[str], n: str, hits: str, population: str) -> DataFrame:
+    """Share with Wilson bounds, and all three times the population, rounded half to even; null where ``n`` is 0."""
+    p = S.ratio(F.col(hits), F.col(n))
+    low, high = S.wilson(p, F.col(n))
+    whole = lambda c: F.bround(F.col(population) * c, 0).cast("long")
+    return groups.select(*by, n, hits, population, F.round(p, 6).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), whole(p).alias("estimate"), whole(low).alias("estimate_low"), whole(high).alias("estimate_high"))
+
+
+def summed_bounds(estimates: DataFrame) -> DataFrame:
+    """Sums of the estimates and of their bounds: not a joint interval.  Strata without an estimate add nothing."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c)
+    return estimates.agg(F.count("estimate").alias("strata"), total("estimate"), total("estimate_low"), total("estimate_high"))
+
+
 def confusion(df: DataFrame, label: str, predicted) -> DataFrame:
     """Counts and rates; a rate whose denominator is 0 is 0."""
     y = F.col(label) == 1
@@ -84,11 +98,12 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def best_f1(df: DataFrame, label: str, score: str) -> DataFrame:
-    """The lowest score at which F1 is largest."""
+    """The lowest score at which F1 is largest; the point beyond all scores has F1 0, so it wins, as 0.5, only without rows."""
     total = F.lit(df.agg(F.count_if(F.col(label) == 1)).first()[0])
     f1 = F.round(F.coalesce(S.ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + total), F.lit(0.0)), 9)
     c = curve(df, label, score).select("score", f1.alias("f1"))
-    return c.orderBy(F.desc("f1"), F.asc("score")).limit(1).select(F.round("score", 6).alias("threshold"), F.round("f1", 6).alias("f1"))
+    best = c.agg(F.max(F.struct("f1", (-F.col("score")).alias("below"))).alias("best"))
+    return best.select(F.round(F.coalesce(-F.col("best.below"), F.lit(0.5)), 6).alias("threshold"), F.round(F.coalesce("best.f1", F.lit(0.0)), 6).alias("f1"))
 
 
 def mcnemar_p(b: int, c: int) -> float:

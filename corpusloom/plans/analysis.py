@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar as S
+from corpusloom.operators import coding as C
 from corpusloom.operators import learning as L
 from corpusloom.operators import relational as R
 from corpusloom.operators import statistics as T
@@ -200,6 +201,13 @@ def audit_extrapolation(spark, d):
     return g.join(docs.groupBy("lang").agg(F.count("*").alias("pop")), "lang").select("lang", "n", "hits", F.round(share, 6).alias("share"), F.bround(F.col("pop") * share, 0).cast("long").alias("estimate"))
 
 
+@query("WITH g AS (SELECT lang, count(*)::DOUBLE AS n, count(*) FILTER (WHERE toxic = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY 1), q AS (SELECT lang, count(*) AS pop FROM documents GROUP BY 1), w AS (SELECT pop, n, k / n AS p, 1.959963985::DOUBLE AS z FROM g JOIN q USING (lang)), b AS (SELECT pop, p, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS low, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) AS high FROM w) SELECT count(*)::BIGINT AS strata, sum(round_even(pop * p, 0))::BIGINT AS estimate, sum(round_even(pop * greatest(0.0, low), 0))::BIGINT AS estimate_low, sum(round_even(pop * least(1.0, high), 0))::BIGINT AS estimate_high FROM b")
+def audit_bounds(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    g = table(spark, d, "labels").join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("hits"))
+    return T.summed_bounds(T.extrapolated(g.join(docs.groupBy("lang").agg(F.count("*").alias("pop")), "lang"), ["lang"], "n", "hits", "pop"))
+
+
 @query("SELECT lang, CASE WHEN count(*) >= 60 THEN round(avg(toxic), 6) END AS share FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def share_by_level(spark, d):
     """Shares of levels with fewer than 60 rows are withheld."""
@@ -262,6 +270,15 @@ def precision_by_standard(spark, d):
     return T.weighted_precision(gold.filter("model = 'yes'"), ["field", "variant"], F.col("gold") == "yes", F.col("w"))
 
 
+@query(CODINGS + """, k AS (SELECT field, variant, count(*) AS n_gold, avg((g = m)::INTEGER) AS po, avg(g::INTEGER) AS pg, avg(m::INTEGER) AS pm FROM gold GROUP BY 1, 2),
+p AS (SELECT field, variant, count(*) AS n, round(sum(w * g::INTEGER) / sum(w), 6) AS precision FROM gold WHERE m GROUP BY 1, 2), e AS (SELECT *, pg * pm + (1 - pg) * (1 - pm) AS pe FROM k)
+SELECT field, variant, n_gold::BIGINT AS n_gold, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa, n::BIGINT AS n, precision, round(max(precision) OVER (PARTITION BY field) - min(precision) OVER (PARTITION BY field), 6) AS spread FROM e JOIN p USING (field, variant)""")
+def variant_spread(spark, d):
+    """The model against each reference standard, and how far the standards' precisions lie apart."""
+    gold = T.reference_standards(codings(spark, d), ["doc_id", "field", "model", "w"], "left_code", "right_code")
+    return C.standard_summary(gold, "field", "model", "yes", "w").drop("n_eff", "low", "high")
+
+
 @query(CODINGS + f", u AS (SELECT variant, doc_id, any_value(w) AS w, bool_and(g = m) AS hit FROM gold GROUP BY 1, 2 HAVING count(DISTINCT field) = 2), s AS (SELECT variant, {_AGG} FROM u GROUP BY 1)" + SHARE.format(by="variant"))
 def complete_type_set(spark, d):
     gold = T.reference_standards(codings(spark, d), ["doc_id", "field", "model", "w"], "left_code", "right_code")

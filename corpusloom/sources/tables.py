@@ -317,6 +317,27 @@ def decoded(images_: DataFrame, decode: Callable[[bytes], object], answer: str)
     return images_.mapInPandas(run, f"{kept}, {answer}, decoded boolean")
 
 
+def image_payload(images_: DataFrame, resize: Callable[[bytes, int], tuple[bytes, str]], longest: int = 1024) -> DataFrame:
+    """``images_`` with ``media_type``, ``base64`` and ``decoded``; ``resize`` gives (bytes, media type) of a picture whose
+    longer side is at most ``longest``.  Pictures it can't read, and nulls, keep their row with nulls.
+    """
+    def run(content: bytes) -> dict:
+        small, kind = resize(content, longest)
+        return {"media_type": kind, "base64": small}
+
+    return decoded(images_, run, "media_type string, base64 binary").withColumn("base64", F.base64("base64"))
+
+
+def write_payload(spark: SparkSession, path: str, shown: DataFrame, variable: str, **constants) -> None:
+    """``path``.json and ``path``.js (an assignment to ``window.variable``) of a blinded sample in its order, with its size
+    and the given constants.  Every column of ``shown`` but ``position`` is seen by the people who code: strata stay out.
+    """
+    rows = [{k: v for k, v in r.asDict().items() if k != "position"} for r in shown.orderBy("position").toLocalIterator()]  # a sample for people
+    body = json.dumps({**constants, "n": len(rows), "items": rows}, ensure_ascii=False, indent=1, default=str)
+    write_text(spark, f"{path}.json", body)
+    write_text(spark, f"{path}.js", f"window.{variable} = {body};\n")
+
+
 def manifest(spark: SparkSession, path: str, note: str = "") -> list[dict]:
     """One entry for each file below ``path``: bytes, sha256 of the bytes, note, and for Parquet rows and columns.
 

@@ -121,3 +121,20 @@ def test_images(spark, tmp_path):
     assert (got["a.png"]["width"], got["a.png"]["decoded"], got["c.html"]["decoded"], got["c.html"]["width"]) == (12, True, False, None)
     types = spark.createDataFrame([(bytearray(b"\xff\xd8\xff0"), "image/jpeg"), (bytearray(b"\xff\xd8\xff0"), "Text/html; x"), (bytearray(b"<h"), None), (bytearray(b"GIF89a"), None)], "c binary, t string")
     assert [r[0] for r in types.select(tables.looks_like_image(F.col("c"), F.col("t"))).collect()] == [True, False, False, True]
+
+
+def test_payloads(spark, tmp_path):
+    def resize(content, longest):
+        if not content.startswith(b"ok"):
+            raise ValueError("no picture")
+        return content[:longest], "image/png"
+
+    pictures = spark.createDataFrame([("a", bytearray(b"ok-and-long")), ("b", bytearray(b"bad")), ("c", None)], "uid string, content binary")
+    got = {r["uid"]: (r["media_type"], r["base64"], r["decoded"]) for r in tables.image_payload(pictures, resize, 5).collect()}
+    assert got == {"a": ("image/png", "b2stYW4=", True), "b": (None, None, False), "c": (None, None, False)}
+    shown = spark.createDataFrame([(2, "u1", "u1.png"), (1, "u2", "ü2.png")], "position int, uid string, file string")
+    tables.write_payload(spark, str(tmp_path / "maps"), shown, "SAMPLE", order_seed=43)
+    body = json.loads((tmp_path / "maps.json").read_text())
+    assert body == {"order_seed": 43, "n": 2, "items": [{"uid": "u2", "file": "ü2.png"}, {"uid": "u1", "file": "u1.png"}]}
+    script = (tmp_path / "maps.js").read_text()
+    assert script.startswith("window.SAMPLE = {") and json.loads(script[len("window.SAMPLE = "):].rstrip(";\n")) == body

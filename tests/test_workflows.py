@@ -241,6 +241,33 @@ def test_blinding_and_keepers(spark):
     assert {r["k"]: r["is_duplicate"] for r in dup.collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
+def test_spread_of_standards_and_summed_bounds(spark):
+    codes = [(i, "q", "yes" if i % 2 else "no", "yes" if i % 3 else "no", "yes" if i < 8 else "no", 1.0 + i % 2) for i in range(12)] + [(1, "none", "yes", "no", "no", 1.0), (2, "none", None, "no", "no", 1.0)]
+    gold = statistics.reference_standards(spark.createDataFrame(codes, "uid int, field string, l string, r string, model string, w double"), ["uid", "field", "model", "w"], "l", "r")
+    got = {(r["field"], r["variant"]): r for r in coding.standard_summary(gold, "field", "model", "yes", "w").collect()}
+    assert set(got) == {("q", "A"), ("q", "B"), ("q", "C"), ("none", "A"), ("none", "B")}
+    for variant, pick in (("A", 2), ("B", 3)):
+        rows = [c for c in codes[:12] if c[4] == "yes"]
+        assert got["q", variant]["precision"] == round(sum(c[5] for c in rows if c[pick] == "yes") / sum(c[5] for c in rows), 6)
+        assert got["q", variant]["agreement"] == round(sum(c[pick] == c[4] for c in codes[:12]) / 12, 6)
+    p = [got["q", v]["precision"] for v in "ABC"]
+    assert got["q", "A"]["spread"] == round(max(p) - min(p), 6) and got["q", "C"]["n_gold"] == sum(c[2] == c[3] for c in codes[:12])
+    assert (got["none", "A"]["n"], got["none", "A"]["precision"], got["none", "A"]["spread"]) == (0, None, None)
+    strata = spark.createDataFrame([("a", 10, 5, 101), ("b", 0, 0, 50), ("c", 4, 4, 7)], "s string, n long, k long, pop long")
+    each = statistics.extrapolated(strata, ["s"], "n", "k", "pop")
+    rows = {r["s"]: r for r in each.collect()}
+    assert (rows["a"]["estimate"], rows["b"]["estimate"], rows["c"]["estimate"], rows["c"]["estimate_high"]) == (50, None, 7, 7)  # 50.5 goes to the even 50
+    assert tuple(statistics.summed_bounds(each).first()) == (2, 57, rows["a"]["estimate_low"] + rows["c"]["estimate_low"], rows["a"]["estimate_high"] + 7)
+    assert tuple(statistics.summed_bounds(each.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_best_f1_takes_the_lowest_score_and_a_half_without_rows(spark):
+    rows = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "label int, score double")
+    assert tuple(statistics.best_f1(rows, "label", "score").first()) == (0.7, 0.8)
+    assert tuple(statistics.best_f1(rows.filter("label = 0"), "label", "score").first()) == (0.1, 0.0)
+    assert tuple(statistics.best_f1(rows.limit(0), "label", "score").first()) == (0.5, 0.0)
+
+
 def test_bootstraps_agree_with_resampled_rows(spark):
     rng = np.random.default_rng(8)
     a = rng.random(300) < 0.4
