@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -266,12 +265,15 @@ def write_benchmark(benchmark: DataFrame, window: int = WINDOW, bench_words: int
     return files
 
 
-@lru_cache(maxsize=1)
 def _benchmark(folder: str, file: str) -> Benchmark:
+    """One shard at a time is held: each is a group of its own."""
     from .bitpack import store
 
-    with store(folder)[0].open_input_stream(file) as opened:
-        return pickle.loads(opened.read())
+    def load() -> Benchmark:
+        with store(folder)[0].open_input_stream(file) as opened:
+            return pickle.loads(opened.read())
+
+    return shared.held(f"benchmark {folder} {file}", file, load)
 
 
 def _shards(batches, shard_words: int):

@@ -11,6 +11,8 @@ import json
 import os
 from array import array
 
+from .shared import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Fixed value: the documented split pattern of byte-level BPE.
@@ -128,14 +130,9 @@ class Encoder:
         return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """One encoder per Python worker and file, until the worker turns to another operator."""
+    return held("encoders", path, lambda: Encoder(path))
 
 
 def public_path(name: str) -> str:

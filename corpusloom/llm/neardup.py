@@ -51,10 +51,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
+    """Hashes of words; it starts anew once it holds 200,000, some 40 MB."""
+
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -218,7 +220,7 @@ def sign(docs: DataFrame, words: int = WORDS, registers: int = REGISTERS) -> Dat
     def run(batches):
         import xxhash
 
-        memo = WordHash()
+        memo = shared.held("near-duplicates", "words", WordHash)
         for pdf in batches:
             at, texts = 0, pdf["text"].tolist()
             while at < len(texts):
@@ -408,7 +410,7 @@ def _verify(docs: DataFrame, canopies: DataFrame, stars: DataFrame, scratch, wor
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
 
     def cut(batches):
-        memo = WordHash()
+        memo = shared.held("near-duplicates", "words", WordHash)
         for pdf in batches:
             sets = [shingles(t, words, memo) for t in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "hashes": [h.tobytes() for h, _ in sets], "counts": [w.astype("<u4").tobytes() for _, w in sets]})

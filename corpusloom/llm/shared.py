@@ -7,6 +7,7 @@ executors would not see it.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -18,6 +19,24 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(group: str, key, make):
+    """``make()`` of ``key``, kept in this Python worker for later tasks.
+
+    Spark hands a worker from one operator to the next, so their caches would add up: a worker that asks for something
+    of a group lets go of all other groups.
+    """
+    if _HELD and group not in _HELD:
+        _HELD.clear()
+        gc.collect()
+    kept = _HELD.setdefault(group, {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def whole_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
 
