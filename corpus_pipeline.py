@@ -34,7 +34,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids."""
-    return packing.pack_documents(docs.select("doc_id", "text"), public_path("word_bpe_49k.json"), 1).drop("copy")
+    return packing.pack_documents(docs.select("doc_id", "text"), public_path("word_bpe_49k.json"), 1, memo_words=150_000).drop("copy")
 
 
 STAGES = [

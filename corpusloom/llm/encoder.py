@@ -130,9 +130,9 @@ class Encoder:
         return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file, until the worker turns to another operator."""
-    return held("encoders", path, lambda: Encoder(path))
+def encoder(path: str, most_words: int = 600_000) -> Encoder:
+    """One encoder per Python worker, file and size of memo (600,000 words: some 300 MB), until the worker turns to another operator."""
+    return held("encoders", (path, most_words), lambda: Encoder(path, most_words))
 
 
 def public_path(name: str) -> str:

@@ -60,14 +60,14 @@ def first_fit_decreasing(lengths, capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, with_ids: bool = False, memo_words: int = 600_000) -> DataFrame:
     """Pieces of at most ``capacity`` ids.  Null text counts as empty: its one id is the end id.
 
     Repeated doc_ids stay separate documents: ``copy`` tells them apart (it is unique for each row of the input).
     """
 
     def run(batches):
-        enc, tail = encoder(tokenizer), struct.pack("<I", end_id)
+        enc, tail = encoder(tokenizer, memo_words), struct.pack("<I", end_id)
         for pdf in batches:
             rows = []
             for doc_id, copy, text in zip(pdf["doc_id"], pdf["copy"], pdf["text"]):
@@ -99,9 +99,12 @@ def place(pieces: DataFrame, capacity: int = 2048, group_rows: int = 1024, seed:
     return shared.null_again(drawn.groupBy("group").applyInPandas(run, PLACED))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 1024, seed: int = 0) -> DataFrame:
-    """Placed pieces of all documents, without ids.  An empty table gives an empty result."""
-    return place(shared.materialise(cut(docs, tokenizer, end_id, capacity), "pieces"), capacity, group_rows, seed)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 1024, seed: int = 0, memo_words: int = 600_000) -> DataFrame:
+    """Placed pieces of all documents, without ids.  An empty table gives an empty result.
+
+    ``memo_words`` bounds the memory that a worker holds for words seen before; ids don't depend on it.
+    """
+    return place(shared.materialise(cut(docs, tokenizer, end_id, capacity, memo_words=memo_words), "pieces"), capacity, group_rows, seed)
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 1024, seed: int = 0, pad_id: int = 0) -> DataFrame:
