@@ -220,7 +220,8 @@ def instability_and_error(wide: DataFrame, codings: DataFrame, first: str, secon
     gold = paired(codings, first, second).filter(f"a = b and a <> '{MISSING}'").select("uid", "field", F.col("a").alias("gold"))
     rows = wide.join(gold, ["uid", "field"]).select(_same().alias("s"), (F.col("prod") == F.col("gold")).alias("r"))
     counts = rows.agg(F.count_if(F.col("s") & F.col("r")).alias("stable_right"), F.count_if(F.col("s") & ~F.col("r")).alias("stable_wrong"), F.count_if(~F.col("s") & F.col("r")).alias("unstable_right"), F.count_if(~F.col("s") & ~F.col("r")).alias("unstable_wrong"))
-    a, b, c, d = counts.first()
+    a, b, c, d = row = counts.first()
+    counts = codings.sparkSession.createDataFrame([row], counts.schema)  # the tables are read once
     tested = c + d >= least
     odds = (d * a) / (c * b) if tested and c and b else None
     p = T.fisher_p(a, b, c, d) if tested else None

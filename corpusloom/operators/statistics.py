@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +108,15 @@ def best_f1(df: DataFrame, label: str, score: str) -> DataFrame:
     return best.select(F.round(F.coalesce(-F.col("best.below"), F.lit(0.5)), 6).alias("threshold"), F.round(F.coalesce("best.f1", F.lit(0.0)), 6).alias("f1"))
 
 
+def _falling(ratio: Callable[[int], float]) -> list[float]:
+    """1 and the weights after it, each the one before times ``ratio`` of its place, as far as floats hold them (2e-308)."""
+    out, w = [], 1.0
+    while w >= sys.float_info.min:
+        out.append(w)
+        w *= ratio(len(out) - 1)
+    return out
+
+
 def mcnemar_p(b: int, c: int) -> float:
     """Exact two-sided binomial p of the discordant counts."""
     n, k = b + c, min(b, c)
@@ -113,10 +124,26 @@ def mcnemar_p(b: int, c: int) -> float:
 
 
 def fisher_p(a: int, b: int, c: int, d: int) -> float:
-    """Exact two-sided p of a 2x2 table: all tables as improbable or more."""
+    """Exact two-sided p of a 2x2 table, to the precision of floats: all tables as improbable or more.
+
+    Weights fall from the most probable table by their ratios; where rounding could decide, whole numbers are compared.
+    """
     r, s, k = a + b, c + d, a + c
-    weights = {x: math.comb(r, x) * math.comb(s, k - x) for x in range(max(0, k - s), min(r, k) + 1)}
-    return sum(w for w in weights.values() if w <= weights[a]) / math.comb(r + s, k)
+    top = (r + 1) * (k + 1) // (r + s + 2)
+    up = _falling(lambda j: (r - top - j) * (k - top - j) / ((top + j + 1) * (s - k + top + j + 1)))
+    down = _falling(lambda j: (top - j) * (s - k + top - j) / ((r - top + j + 1) * (k - top + j + 1)))
+    weights = {top - j: w for j, w in enumerate(down)} | {top + j: w for j, w in enumerate(up)}
+    own, error = weights.get(a, 0.0), 1e-15 * len(weights)
+
+    def rare(x: int, w: float) -> bool:
+        if abs(w - own) > error * own:
+            return w < own
+        low, high = min(x, a), max(x, a)
+        m = high - low
+        rise, fall = math.perm(r - low, m) * math.perm(k - low, m), math.perm(high, m) * math.perm(s - k + high, m)
+        return rise <= fall if x == high else fall <= rise
+
+    return math.fsum(w for x, w in weights.items() if rare(x, w)) / math.fsum(weights.values())
 
 
 def bootstrap_kappa(pairs: DataFrame, a: str, b: str, resamples: int = 2000, seed: int = 42) -> DataFrame:

@@ -1,8 +1,10 @@
 """Hand-written cases and properties."""
 
 import hashlib
+import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +75,30 @@ def test_exact_tests():
     assert statistics.fisher_p(3, 1, 1, 3) == pytest.approx(34 / 70)
 
 
+def plain_fisher(a, b, c, d):
+    """By whole numbers, each weight from the one before."""
+    r, s, k = a + b, c + d, a + c
+    own, x, total = math.comb(r, a) * math.comb(s, c), max(0, k - s), 0
+    w = math.comb(r, x) * math.comb(s, k - x)
+    for x in range(x, min(r, k) + 1):
+        total += w if w <= own else 0
+        w = w * (r - x) * (k - x) // ((x + 1) * (s - k + x + 1))
+    return total / math.comb(r + s, k)
+
+
+def test_fisher_of_small_tables_and_ties():
+    for q in itertools.product(range(6), repeat=4):
+        assert statistics.fisher_p(*q) == pytest.approx(plain_fisher(*q), rel=1e-12)
+
+
+@pytest.mark.parametrize("counts", [(6000, 18000, 6100, 18100), (6050, 5950, 5950, 6050), (2162, 15670, 0, 2766), (6100, 17900, 6000, 18100)])
+def test_fisher_of_great_counts_is_exact_and_quick(counts):
+    began = time.process_time()
+    p = statistics.fisher_p(*counts)
+    assert time.process_time() - began < 0.5
+    assert p == pytest.approx(plain_fisher(*counts), rel=1e-11)
+
+
 def test_running_matches_plain_sums(spark):
     rows = [(i % 37, i, i % 5) for i in range(1000)]
     df = spark.createDataFrame(rows, "o long, id long, v long")

@@ -152,6 +152,16 @@ def test_gold_and_independence_on_small_codings(spark):
     assert patterns == {("m1", "false positives"): 1, ("m1", "any:m2"): 1, ("m1", "sole:m2"): 1}
 
 
+def test_instability_and_error_on_small_codings(spark, tmp_path):
+    kinds = [("yes", "yes", "yes", "yes", 9), ("yes", "yes", "yes", "no", 2), ("yes", "no", "yes", "yes", 3), ("no", "yes", "no", "yes", 8), ("yes", "no", "no", "cannot_assess", 4)]
+    rows = [(f"{k}-{i}", "f", *v) for k, (*v, n) in enumerate(kinds) for i in range(n)]
+    wide = spark.createDataFrame([r[:5] for r in rows], "uid string, field string, prod string, run1 string, run2 string")
+    spark.createDataFrame([(r[0], "f", s, r[5]) for r in rows for s in ("l", "r")], "uid string, field string, source string, value string").write.parquet(str(tmp_path / "codings"))
+    got = coding.instability_and_error(wide, spark.read.parquet(str(tmp_path / "codings")), "l", "r")
+    assert tuple(got.first()) == (9, 2, 3, 8, 0.181818, 0.727273, 12.0, round(statistics.fisher_p(9, 2, 3, 8), 9))
+    assert got.inputFiles() == []  # counted before, not again
+
+
 def test_smote_lies_between_neighbours(spark):
     rng = np.random.default_rng(3)
     minority = rng.normal(size=(30, 2))
