@@ -99,6 +99,17 @@ def test_fisher_of_great_counts_is_exact_and_quick(counts):
     assert p == pytest.approx(plain_fisher(*counts), rel=1e-11)
 
 
+@pytest.mark.parametrize("counts", [(10_000, 10_000), (10_300, 9_900), (9_900, 10_301), (0, 20_000), (60_000, 59_500)])
+def test_mcnemar_of_great_counts_is_exact_and_quick(counts):
+    began = time.process_time()
+    p = statistics.mcnemar_p(*counts)
+    assert time.process_time() - began < 0.5
+    n, w, total = sum(counts), 1, 0
+    for i in range(min(counts) + 1):
+        total, w = total + w, w * (n - i) // (i + 1)
+    assert p == pytest.approx(min(1.0, 2 * total / 2**n), rel=1e-11)
+
+
 def test_running_matches_plain_sums(spark):
     rows = [(i % 37, i, i % 5) for i in range(1000)]
     df = spark.createDataFrame(rows, "o long, id long, v long")
